@@ -92,14 +92,14 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACES)] = True
 _P = np.uint64(0x9E3779B97F4A7C15)
-_pow = np.ones(64, np.uint64)
+_pow = np.ones(1, np.uint64)
 
 
 def _powers(n: int) -> np.ndarray:
     """At least n powers of the (odd) base, modulo 2^64."""
     global _pow
     if len(_pow) < n:
-        steps = np.full(max(n, 2 * len(_pow)), _P)
+        steps = np.full(max(n, 64, 2 * len(_pow)), _P)
         steps[0] = 1
         _pow = np.cumprod(steps, dtype=np.uint64)
     return _pow
