@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from terralith.plans import spatial, streams
+
 
 def queries() -> dict:
-    return {}
+    return spatial.QUERIES | streams.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return spatial.ORACLES | streams.ORACLES
 
 
 def entry(spark, sf_dir: str):
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return spatial.points_per_district(spark, sf_dir)
