@@ -5,7 +5,7 @@
    be compared among those of equal anchors. A run of windows with one anchor is one row.
 2. Rows whose anchor occurs once go. Where all rows of an anchor have the same context (all bytes of all
    their windows), everything is repeated and no text is moved.
-3. The other contexts are gathered by anchor and suffix-sorted from the anchor on and, reversed, from the
+3. The other contexts, one of each kind, are gathered by anchor and suffix-sorted from the anchor on and, reversed, from the
    anchor back. Suffixes are compared by binary search over prefix polynomial hashes in a merge sort, and
    neighbours' common extensions are verified byte by byte. Windows are equal where both the forward and
    the backward extension fall in the same class.
@@ -30,8 +30,8 @@ from terralith.llm.common import chunks, materialize, mix, small_batches, table,
 
 LENGTH, GRAM = 200, 40
 SPAN = LENGTH - GRAM + 1
-#: Anchors with more rows than this are counted window by window.
-HOT = 2048
+#: Anchors with more different contexts than this (9 MB of them) are counted window by window.
+HOT = 32768
 FILTER_BITS = 1 << 23
 _P = 0x9E3779B97F4A7C15
 _INV = pow(_P, -1, 1 << 64)
@@ -189,11 +189,17 @@ def repeated_windows(group: np.ndarray, least: np.ndarray, most: np.ndarray, con
     backward = suffix_sort(mirrored, group, len(data) - anchor, back)
     f_common = _common(data, forward, group, anchor, ahead, 1)
     b_common = _common(data, backward, group, anchor - 1, back, -1)
+    # the longest extensions, which a row has with a neighbour in either order, bound its windows
+    f_best, b_best = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    f_best[forward] = np.maximum(f_common, np.append(f_common[1:], 0))
+    b_best[backward] = np.maximum(b_common, np.append(b_common[1:], 0))
+    low, high = np.maximum(least, LENGTH - f_best), np.minimum(most, b_best)
     hit = np.zeros((n, int(most.max(initial=0)) + 2), bool)
     f_class, b_class = np.empty(n, np.int64), np.empty(n, np.int64)
     f_new, b_new = np.r_[True, group[forward][1:] != group[forward][:-1]], np.r_[True, group[backward][1:] != group[backward][:-1]]
-    for r in range(int(least.min(initial=0)), int(most.max(initial=-1)) + 1):
-        live = np.flatnonzero((least <= r) & (r <= most))
+    some = low <= high
+    for r in range(int(low[some].min(initial=LENGTH)), int(high[some].max(initial=-1)) + 1):
+        live = np.flatnonzero((low <= r) & (r <= high))
         if len(live) < 2:
             continue
         f_class[forward] = np.cumsum(f_new | (f_common < LENGTH - r))
@@ -317,10 +323,16 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = materialize(texts.mapInArrow(_rows, "gram bigint, context bigint, key bigint, pos int, least smallint, most smallint"), "repeat-anchors")
     often = rows.groupBy("gram").agg(F.count("*").alias("m"), F.min("context").alias("c0"), F.max("context").alias("c1")).where("m > 1")
-    often = often.select("gram", F.expr("c0 <> c1").alias("mixed"), F.expr(f"m > {HOT}").alias("hot"))
-    marks = materialize(rows.join(often, "gram").select("gram", "key", "pos", "least", "most", "mixed", "hot"), "repeat-marks")
-    whole = marks.where("NOT mixed").select("key", F.expr("cast(pos - most AS INT)").alias("start"), F.expr(f"cast(pos - least + {LENGTH} AS INT)").alias("end"))
-    wanted = materialize(marks.where("mixed").groupBy("key").agg(F.collect_list(F.struct("gram", "hot", "pos", "least", "most")).alias("spots")), "repeat-spots")
+    often = often.select("gram", F.expr("c0 <> c1").alias("mixed"))
+    marks = materialize(rows.join(often, "gram").select("gram", "context", "key", "pos", "least", "most", "mixed"), "repeat-marks")
+    # of equal contexts one is compared with the others; where there are two, all their windows are repeated
+    one = marks.where("mixed").groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos", "least", "most")).alias("s"))
+    one = materialize(one, "repeat-kinds")
+    alike = marks.where("mixed").join(one.where("n > 1").select("gram", "context"), ["gram", "context"], "left_semi")
+    whole = marks.where("NOT mixed").union(alike).select("key", F.expr("cast(pos - most AS INT)").alias("start"), F.expr(f"cast(pos - least + {LENGTH} AS INT)").alias("end"))
+    hot = one.groupBy("gram").agg(F.count("*").alias("kinds")).where(f"kinds > {HOT}").select("gram", F.lit(True).alias("hot"))
+    spots = one.join(hot, "gram", "left").select("s.*", "gram", F.coalesce("hot", F.lit(False)).alias("hot"))
+    wanted = materialize(spots.groupBy("key").agg(F.collect_list(F.struct("gram", "hot", "pos", "least", "most")).alias("spots")), "repeat-spots")
     contexts = _with_text(texts, wanted).mapInArrow(_contexts, "gram bigint, hot boolean, key bigint, pos int, least smallint, most smallint, bytes binary")
     contexts = materialize(contexts, "repeat-contexts")
     gathered = contexts.where("NOT hot").repartition(n, "gram").sortWithinPartitions("gram").drop("hot")
