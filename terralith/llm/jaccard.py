@@ -33,9 +33,9 @@ SIZE, PERCENT = 5, 80
 #: Counters of the sketch, and hash functions for the first comparison with central nodes.
 SKETCH, PERMUTATIONS = 1 << 16, 16
 AGREEING = 6
-MAX_MATCHES = 4
-#: Cost of verifying a candidate, in list entries read.
-VERIFY_COST = 16
+#: Cost of verifying a candidate, in prefix entries shuffled; other nodes that any shingle is taken to
+#: meet beyond what the sketch can tell; the longest lengthening, as a part of the set.
+VERIFY_COST, UNSEEN, MOST = 64, 0.05, 8
 FILTER_BITS = 1 << 23
 GROUP = 128
 
@@ -89,11 +89,12 @@ def prefix(s: np.ndarray, counts: np.ndarray, usual: float) -> tuple[int, int, n
     seen = counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
     order = np.lexsort((s, seen))
     spare_small, spare_large = n - -(-8 * n // 9), n - -(-4 * n // 5)
-    most = min(MAX_MATCHES, n - spare_large)
-    over = np.maximum(0.0, seen[order[: spare_large + most]] - usual)
-    met = np.cumsum(over)
-    cost = [met[spare_large + k - 1] * (1 + VERIFY_COST / k) for k in range(1, most + 1)]
-    k = int(np.argmin(cost)) + 1
+    most = max(1, min(n // MOST, n - spare_large))
+    met = np.cumsum(UNSEEN + np.maximum(0.0, seen[order[: spare_large + most]] - usual))
+    k = np.arange(1, most + 1)
+    # entries written and met, and candidates: each shares k of the entries met, so they are met / k
+    met = met[spare_large + k - 1]
+    k = int(np.argmin(k + met + VERIFY_COST * met / k)) + 1
     return k, spare_small + k, s[order[: spare_large + k]]
 
 
@@ -207,13 +208,16 @@ def candidates(docs: DataFrame, nodes: DataFrame, labels: DataFrame, sketch: Dat
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     own = own.mapInArrow(prefixes, "node bigint, s1 bigint, n int, matches int, small int, tokens array<bigint>")
     own = own.join(nodes.select("node", "s1").join(labels, "node", "left").select("node", "s1", F.coalesce("component", "node").alias("component")), ["node", "s1"])
-    each = own.select("node", "n", "matches", "small", "component", F.posexplode("tokens").alias("at", "token"))
-    each = each.select("token", "node", "component", "n", "matches", (F.col("at") < F.col("small")).alias("small"))
+    each = own.select("node", "n", "matches", "small", "component", F.size("tokens").alias("p"), F.posexplode("tokens").alias("at", "token"))
+    each = each.select("token", "node", "component", "n", "matches", "p", (F.col("at") < F.col("small")).alias("small"))
     by = "(PARTITION BY token)"
     shared = each.select("*", F.expr(f"min(component) OVER {by}").alias("c0"), F.expr(f"max(component) OVER {by}").alias("c1")).where("c0 <> c1").drop("c0", "c1")
     shared = materialize(shared, "jaccard-prefixes")
+    # what a node's prefix shares with no other component is missing from any overlap: most is left
+    most = shared.groupBy("node").agg(F.first(F.col("n") - F.col("p")).alias("beyond"), F.count("*").alias("h")).selectExpr("node", "cast(beyond + h AS INT) AS most")
+    shared = shared.join(most, "node").where("5 * most >= 4 * n")
     x, y = shared.where("small").alias("x"), shared.alias("y")
-    fits = F.expr("x.token = y.token AND x.component <> y.component AND struct(x.n, x.node) < struct(y.n, y.node) AND 5 * x.n >= 4 * y.n")
+    fits = F.expr("x.token = y.token AND x.component <> y.component AND struct(x.n, x.node) < struct(y.n, y.node) AND 5 * x.n >= 4 * y.n AND 9 * least(x.most, y.most) >= 4 * (x.n + y.n)")
     met = x.join(y, fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.least("x.matches", "y.matches").alias("k"))
     return met.groupBy("a", "b").agg(F.count("*").alias("m"), F.min("k").alias("k")).where("m >= k").select("a", "b")
 
