@@ -77,6 +77,11 @@ def counts(text: Column) -> Column:
     )
 
 
+def once(value: Column) -> Column:
+    """The value as the one row of a generator, so that no later use of its fields computes it again."""
+    return F.explode(F.array(value))
+
+
 def flat_counts(struct: str) -> list[Column]:
     names = ["w.n_words", "w.word_chars", "w.n_distinct", "w.n_repeat_words", "l.n_lines", "l.n_dup_lines", "n_symbols", "n_marks", "n_upper", "n_letters"]
     return [F.col(f"{struct}.{x}").alias(x.rpartition(".")[2]) for x in names]
@@ -174,7 +179,7 @@ def judged(counted: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float
 
 def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row a row of docs: doc_id, counts, votes, base_failed, quality, kept. Texts are read once."""
-    counted = docs.select(F.col("doc_id"), counts(F.col("text")).alias("c")).select("doc_id", *flat_counts("c"))
+    counted = docs.select(F.col("doc_id"), once(counts(F.col("text"))).alias("c")).select("doc_id", *flat_counts("c"))
     return judged(materialize(counted, "quality-counts"), rules)
 
 
@@ -182,7 +187,7 @@ def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.
     """The rows of docs that pass, with their own columns. The counts are made anew in the second pass
     instead of shuffling every text to meet them."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    voted = docs.select(whole, counts(F.col("text")).alias("c")).select("__row", *flat_counts("c")).select("__row", "n_words", "n_repeat_words", votes_of(rules))
+    voted = docs.select(whole, once(counts(F.col("text"))).alias("c")).select("__row", *flat_counts("c")).select("__row", "n_words", "n_repeat_words", votes_of(rules))
     model = fit(materialize(voted.groupBy("votes").agg(F.count("*").alias("n")).coalesce(1), "vote-patterns"), rules)
     return voted.where(~failed() & (F.round(model.posterior(), 6) >= threshold)).select("__row.*")
 
