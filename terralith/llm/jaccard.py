@@ -6,12 +6,15 @@ Documents are sets of five-word shingles; two link when their Jaccard similarity
    rare to common.
 2. Large groups of near copies would make all pairs. Each node is first compared with the most central
    node of its MinHash buckets only; what links is one component before the join begins.
-3. The join proper: a node's prefix holds its rarest shingles, so many that a partner of enough overlap
+3. Nodes compared with one central node are told apart by what sets them off from it: two of them link
+   only if enough of these differences, which are few and rare, are common. Their pairs are found by
+   prefixes of the differences and decided on the whole of these.
+4. The join proper, for all other pairs: a node's prefix holds its rarest shingles, so many that a partner of enough overlap
    must share `matches` of them. A node whose prefix meets many others by the sketch gets a longer prefix
    and asks for more shared shingles. Only pairs from different components are formed and verified, so
    no link between components is lost, and pairs inside one are never listed.
 
-Every pair is verified on the exact sets of both whole texts.
+Every pair is decided on the exact sets of both whole texts.
 
 Defined results: null or wordless texts have an empty set and link with nothing; texts of one to four
 words have one shingle, the whole sequence; rows of one doc_id are one document; a null doc_id links
@@ -23,7 +26,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralith.llm.common import chunks, materialize, mix, shingle_hashes, small_batches, table, utf8_column, word_hashes
@@ -52,6 +55,10 @@ def _sets(batch):
             yield k, np.unique(shingle_hashes(words[first[k - a] : first[k - a + 1]], SIZE))
 
 
+def _slot(s: np.ndarray) -> np.ndarray:
+    return (s & np.uint64(SKETCH - 1)).astype(np.int64)
+
+
 def _i64(x) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
@@ -86,7 +93,7 @@ def prefix(s: np.ndarray, counts: np.ndarray, usual: float) -> tuple[int, int, n
     common, so for any k the first n - ceil(8n/9) + k and m - ceil(4m/5) + k share at least k.
     """
     n = len(s)
-    seen = counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
+    seen = counts[_slot(s)]
     order = np.lexsort((s, seen))
     spare_small, spare_large = n - -(-8 * n // 9), n - -(-4 * n // 5)
     most = max(1, min(n // MOST, n - spare_large))
@@ -146,7 +153,8 @@ def _packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _compare(batches):
-    """Rows by (hub, salt), the hub's own first: emits (a, b) of those that link with it."""
+    """Rows by (hub, salt), the hub's own first: (a, b) of those that share half of both sets, whether they
+    link, and b's n, s1 and differences from a (none where a stands for several texts)."""
     import pyarrow as pa
 
     def unpack(z: bytes) -> np.ndarray:
@@ -155,20 +163,25 @@ def _compare(batches):
 
     hub, held = None, []
     for batch in batches:
-        a, b = [], []
+        out = []
         for h, other, z in zip(*(batch.column(c).to_pylist() for c in ("hub", "other", "z")), strict=True):
             s = unpack(z)
             if other == h:
-                held = [*held, s] if hub == h else [s]
+                held = ([t for t in held if not np.array_equal(t, s)] if hub == h else []) + [s]
                 hub = h
-            elif hub == h and any(100 * (i := len(np.intersect1d(t, s, assume_unique=True))) >= PERCENT * (len(t) + len(s) - i) > 0 for t in held):
-                a.append(h)
-                b.append(other)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of pairs (a, b; a written table) whose exact similarity is high enough. The work of a
+            elif hub == h and len(s):
+                shared = [len(np.intersect1d(t, s, assume_unique=True)) for t in held]
+                linked = any(100 * i >= PERCENT * (len(t) + len(s) - i) for t, i in zip(held, shared, strict=True))
+                if linked or any(3 * i >= len(t) + len(s) for t, i in zip(held, shared, strict=True)):
+                    alone = len(held) == 1
+                    out.append((h, other, linked, len(s), np.bitwise_xor.reduce(mix(s)).view(np.int64), _i64(np.setxor1d(held[0], s, assume_unique=True)) if alone else None))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 6
+        types = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types, strict=True)], ["a", "b", "linked", "n", "s1", "delta"])
+
+
+def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (a, b; a written table) of similar nodes, as _compare gives them. The work of a
     node with many pairs is dealt over groups that each get a copy of its text."""
     degree = pairs.groupBy("a").agg(F.count("*").alias("m"))
     dealt = pairs.join(degree, "a").select(F.col("a").alias("hub"), F.col("b").alias("other"), F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / GROUP)).cast("int").alias("salt"))
@@ -177,11 +190,52 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = both.join(_packed(docs, ids).withColumnRenamed("node", "other"), "other").select("hub", "salt", "other", "z")
     rows = rows.repartition(n, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("other") != F.col("hub"))
-    return materialize(rows.mapInArrow(_compare, "a bigint, b bigint").distinct(), "jaccard-links")
+    return materialize(rows.mapInArrow(_compare, "a bigint, b bigint, linked boolean, n int, s1 bigint, delta array<bigint>"), "jaccard-compared")
+
 
+def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of pairs whose exact similarity is high enough."""
+    return compare(docs, pairs).where("linked").select("a", "b").distinct()
+
+
+def around_hubs(compared: DataFrame) -> DataFrame:
+    """hub, node, s1, n, delta: every node with the central node it is most like, and these themselves."""
+    known = compared.where("delta IS NOT NULL")
+    best = known.groupBy("b", "s1").agg(F.min_by(F.struct("a", "n", "delta"), F.struct(F.size("delta"), "a")).alias("at"))
+    best = best.select(F.col("at.a").alias("hub"), F.col("b").alias("node"), "s1", F.col("at.n").alias("n"), F.col("at.delta").alias("delta"))
+    hubs = best.select(F.col("hub").alias("node")).distinct()
+    return materialize(best.join(hubs, "node", "left_anti").select("hub", "node", "s1", "n", "delta"), "jaccard-hubs")
 
-def candidates(docs: DataFrame, nodes: DataFrame, labels: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Pairs of nodes of different components that share enough of their prefixes."""
+
+def difference_links(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes of one hub and different components.
+
+    With dx and dy differences from the hub, c of them common, x and y differ in dx + dy - 2c shingles, and
+    link if that is at most (nx + ny) / 9: c must be at least (9dx - nx + 9dy - ny) / 18. Of two nodes of
+    different components one doesn't link with the hub (it is far), so that c is at least 1, and a prefix
+    of all but c - 1 differences holds a common one. The least 9d - n of the group stands for the partner's.
+    """
+    own = labels.select(F.col("node").alias("hub"), F.col("component").alias("at_hub"))
+    g = groups.join(labels, "node", "left").join(own, "hub", "left").withColumn("component", F.coalesce("component", "node"))
+    g = g.select("hub", "node", "s1", "n", "delta", "component", (F.col("component") != F.coalesce("at_hub", "hub")).alias("far"), F.size("delta").alias("d"), F.expr("9 * size(delta) - n").alias("e"))
+    least = g.groupBy("hub").agg(F.min("e").alias("e_all"), F.min(F.when(F.col("far"), F.col("e"))).alias("e_far")).where("e_far IS NOT NULL")
+    g = materialize(g.join(least, "hub").withColumn("p", F.expr("d + 1 - greatest(1, cast(ceil((e + if(far, e_all, e_far)) / 18) AS INT))")).where("p > 0").drop("e_all", "e_far"), "jaccard-groups")
+    each = g.select("hub", "node", "s1", "component", "far", "n", "d", "e", "p", F.explode("delta").alias("token"))
+    rare = each.groupBy("hub", "token").agg(F.count("*").alias("m"))
+    order = Window.partitionBy("hub", "node", "s1").orderBy("m", "token")
+    held = materialize(each.join(rare, ["hub", "token"]).withColumn("at", F.row_number().over(order)).where("at <= p AND m > 1").drop("at", "p", "m"), "jaccard-differences")
+    fits = "x.hub = y.hub AND x.token = y.token AND x.component <> y.component AND (NOT y.far OR x.node < y.node) AND x.e + y.e <= 18 * least(x.d, y.d) AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"
+    key = lambda side: [F.col(f"{side}.{c}").alias(f"{c}_{side}") for c in ("node", "s1")]
+    met = held.where("far").alias("x").join(held.alias("y"), F.expr(fits)).select(*key("x"), *key("y")).distinct()
+    whole = lambda side: g.select(*[F.col(c).alias(f"{c}_{side}") for c in ("node", "s1", "n", "delta")])
+    both = met.join(whole("x"), ["node_x", "s1_x"]).join(whole("y"), ["node_y", "s1_y"])
+    same = F.size(F.array_intersect("delta_x", "delta_y"))
+    near = both.where(9 * (F.size("delta_x") + F.size("delta_y") - 2 * same) <= F.col("n_x") + F.col("n_y"))
+    return near.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+
+
+def candidates(docs: DataFrame, nodes: DataFrame, labels: DataFrame, groups: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Pairs of nodes of different components and hubs that share enough of their prefixes."""
     counts = np.zeros(SKETCH, np.int64)
     for r in sketch.collect():  # SKETCH rows at most
         counts[r["bucket"]] = r["count"]
@@ -201,23 +255,29 @@ def candidates(docs: DataFrame, nodes: DataFrame, labels: DataFrame, sketch: Dat
             flat = np.concatenate([f[2] for f in found]) if found else np.zeros(0, np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_i64(flat), pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(rows, pa.int64())), pa.array(_i64([f[4] for f in found])), pa.array([f[3] for f in found], pa.int32()), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32()), lists],
-                ["node", "s1", "n", "matches", "small", "tokens"],
+                [ids.take(pa.array(rows, pa.int64())), pa.array(_i64([f[4] for f in found])), pa.array([f[3] for f in found], pa.int32()), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32()),
+                 pa.array([int(counts[_slot(f[2][-1:])][0]) for f in found], pa.int64()), pa.array(_i64([f[2][-1] ^ np.uint64(1 << 63) for f in found])), lists],
+                ["node", "s1", "n", "matches", "small", "seen", "last", "tokens"],
             )
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    own = own.mapInArrow(prefixes, "node bigint, s1 bigint, n int, matches int, small int, tokens array<bigint>")
-    own = own.join(nodes.select("node", "s1").join(labels, "node", "left").select("node", "s1", F.coalesce("component", "node").alias("component")), ["node", "s1"])
-    each = own.select("node", "n", "matches", "small", "component", F.size("tokens").alias("p"), F.posexplode("tokens").alias("at", "token"))
-    each = each.select("token", "node", "component", "n", "matches", "p", (F.col("at") < F.col("small")).alias("small"))
+    own = own.mapInArrow(prefixes, "node bigint, s1 bigint, n int, matches int, small int, seen bigint, last bigint, tokens array<bigint>")
+    hubs = groups.select("node", "s1", "hub").union(groups.selectExpr("hub AS node", "CAST(NULL AS BIGINT) AS s1", "hub").distinct())
+    named = nodes.select("node", "s1").join(labels, "node", "left").alias("n").join(hubs.alias("h"), F.expr("n.node = h.node AND (h.s1 IS NULL OR n.s1 = h.s1)"), "left")
+    named = named.selectExpr("n.node", "n.s1", "coalesce(component, n.node) AS component", "named_struct('k', hub IS NOT NULL, 'v', coalesce(hub, n.node)) AS hub")
+    own = own.join(named, ["node", "s1"])
+    each = own.select("node", "n", "matches", "small", "component", "hub", F.struct("seen", "last").alias("last"), F.size("tokens").alias("p"), F.posexplode("tokens").alias("at", "token"))
+    each = each.select("token", "node", "component", "hub", "n", "matches", "last", "p", (F.col("at") < F.col("small")).alias("small"))
     by = "(PARTITION BY token)"
-    shared = each.select("*", F.expr(f"min(component) OVER {by}").alias("c0"), F.expr(f"max(component) OVER {by}").alias("c1")).where("c0 <> c1").drop("c0", "c1")
+    ends = [F.expr(f"{f}({c}) OVER {by}").alias(f"{f}_{c}") for c in ("component", "hub") for f in ("min", "max")]
+    shared = each.select("*", *ends).where("min_component <> max_component AND min_hub <> max_hub").drop("min_component", "max_component", "min_hub", "max_hub")
     shared = materialize(shared, "jaccard-prefixes")
-    # what a node's prefix shares with no other component is missing from any overlap: most is left
-    most = shared.groupBy("node").agg(F.first(F.col("n") - F.col("p")).alias("beyond"), F.count("*").alias("h")).selectExpr("node", "cast(beyond + h AS INT) AS most")
-    shared = shared.join(most, "node").where("5 * most >= 4 * n")
+    # what a node's prefix shares with no other is missing from its overlap with nodes whose prefix ends later
+    one = ["node", "n", "p", "last"]
+    most = shared.groupBy(*one).agg(F.count("*").alias("h")).selectExpr(*one, "cast(n - p + h AS INT) AS most")
+    shared = shared.join(most, one)
     x, y = shared.where("small").alias("x"), shared.alias("y")
-    fits = F.expr("x.token = y.token AND x.component <> y.component AND struct(x.n, x.node) < struct(y.n, y.node) AND 5 * x.n >= 4 * y.n AND 9 * least(x.most, y.most) >= 4 * (x.n + y.n)")
+    fits = F.expr("x.token = y.token AND x.component <> y.component AND x.hub <> y.hub AND struct(x.n, x.node) < struct(y.n, y.node) AND 5 * x.n >= 4 * y.n AND 9 * if(x.last <= y.last, x.most, y.most) >= 4 * (x.n + y.n)")
     met = x.join(y, fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.least("x.matches", "y.matches").alias("k"))
     return met.groupBy("a", "b").agg(F.count("*").alias("m"), F.min("k").alias("k")).where("m >= k").select("a", "b")
 
@@ -227,11 +287,13 @@ def classes(docs: DataFrame) -> DataFrame:
     rows, sketch = profile(docs)
     nodes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("mh").alias("mh"))
     nodes = materialize(nodes, "jaccard-nodes")
-    near = verify(docs, materialize(central_pairs(nodes), "jaccard-central"))
+    compared = compare(docs, materialize(central_pairs(nodes), "jaccard-central"))
+    near, groups = compared.where("linked").select("a", "b").distinct(), around_hubs(compared)
     # the rows of one doc_id are one document, whatever its sets
     same = rows.where("n > 0").join(nodes, ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
     labels = materialize(components(near.union(same)), "jaccard-components")
-    found = verify(docs, materialize(candidates(docs, nodes, labels, sketch), "jaccard-pairs"))
+    found = verify(docs, materialize(candidates(docs, nodes, labels, groups, sketch), "jaccard-pairs"))
+    found = found.union(difference_links(groups, labels))
     a, b = labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     between = found.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
     merged = components(between).select(F.col("node").alias("component"), F.col("component").alias("merged"))

@@ -255,3 +255,31 @@ def test_pipeline_stages(spark):
     want = {i for i, c in classes.items() if i == c}
     final = {r["doc_id"] for r in corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()}
     assert final <= want <= set(source) and len(final) > 0.3 * len(want)
+
+
+def test_jaccard_decides_by_differences_from_a_central_text(spark):
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for doc in range(160):
+        words = list(base)
+        for at in rng.choice(150, rng.integers(1, 7), replace=False):
+            words[at] = f"e{rng.integers(0, 3)}"
+        rows.append((doc, " ".join(words)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(146)} for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            i = len(sets[a] & sets[b])
+            if 100 * i >= 80 * (len(sets[a]) + len(sets[b]) - i):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: root(k) for k in range(len(rows))}
+    assert 1 < len(set(got.values())) < len(rows)
