@@ -213,7 +213,8 @@ def difference_links(groups: DataFrame, labels: DataFrame) -> DataFrame:
     With dx and dy differences from the hub, c of them common, x and y differ in dx + dy - 2c shingles, and
     link if that is at most (nx + ny) / 9: c must be at least (9dx - nx + 9dy - ny) / 18. Of two nodes of
     different components one doesn't link with the hub (it is far), so that c is at least 1, and a prefix
-    of all but c - 1 differences holds a common one. The least 9d - n of the group stands for the partner's.
+    of all but c - 1 differences holds a common one. The least 9d - n of the group stands for the partner's;
+    a pair is met at its first common difference, after which enough of both must be left.
     """
     own = labels.select(F.col("node").alias("hub"), F.col("component").alias("at_hub"))
     g = groups.join(labels, "node", "left").join(own, "hub", "left").withColumn("component", F.coalesce("component", "node"))
@@ -223,8 +224,8 @@ def difference_links(groups: DataFrame, labels: DataFrame) -> DataFrame:
     each = g.select("hub", "node", "s1", "component", "far", "n", "d", "e", "p", F.explode("delta").alias("token"))
     rare = each.groupBy("hub", "token").agg(F.count("*").alias("m"))
     order = Window.partitionBy("hub", "node", "s1").orderBy("m", "token")
-    held = materialize(each.join(rare, ["hub", "token"]).withColumn("at", F.row_number().over(order)).where("at <= p AND m > 1").drop("at", "p", "m"), "jaccard-differences")
-    fits = "x.hub = y.hub AND x.token = y.token AND x.component <> y.component AND (NOT y.far OR x.node < y.node) AND x.e + y.e <= 18 * least(x.d, y.d) AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"
+    held = materialize(each.join(rare, ["hub", "token"]).withColumn("at", F.row_number().over(order)).where("at <= p AND m > 1").drop("p", "m"), "jaccard-differences")
+    fits = "x.hub = y.hub AND x.token = y.token AND x.component <> y.component AND (NOT y.far OR x.node < y.node) AND x.e + y.e <= 18 * (1 + least(x.d - x.at, y.d - y.at)) AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"
     key = lambda side: [F.col(f"{side}.{c}").alias(f"{c}_{side}") for c in ("node", "s1")]
     met = held.where("far").alias("x").join(held.alias("y"), F.expr(fits)).select(*key("x"), *key("y")).distinct()
     whole = lambda side: g.select(*[F.col(c).alias(f"{c}_{side}") for c in ("node", "s1", "n", "delta")])
