@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from terralith.plans import spatial, streams
+from terralith.plans import analysis, spatial, streams
 
 
 def queries() -> dict:
-    return spatial.QUERIES | streams.QUERIES
+    return spatial.QUERIES | analysis.QUERIES | streams.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return spatial.ORACLES | streams.ORACLES
+    return spatial.ORACLES | analysis.ORACLES | streams.ORACLES
 
 
 def entry(spark, sf_dir: str):

@@ -74,3 +74,38 @@ def overlap(ax0, ay0, ax1, ay1, bx0, by0, bx1, by1) -> Column:
     w = F.least(ax1, bx1) - F.greatest(ax0, bx0)
     h = F.least(ay1, by1) - F.greatest(ay0, by0)
     return F.when((w > 0) & (h > 0), w * h).otherwise(0.0)
+
+
+def box(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+    """Counterclockwise ring of a box."""
+    return F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((xmin, ymin), (xmax, ymin), (xmax, ymax), (xmin, ymax))])
+
+
+def buffer_point(x: Column, y: Column, radius: Column, quadrant: int = 16) -> Column:
+    """Ring of 4 * quadrant vertices on the circle about a point."""
+    turn = lambda k: k * (3.141592653589793 / 2 / quadrant)
+    return F.transform(F.sequence(F.lit(0), F.lit(4 * quadrant - 1)), lambda k: F.struct((x + radius * F.cos(turn(k))).alias("x"), (y + radius * F.sin(turn(k))).alias("y")))
+
+
+def clip_convex(ring: Column, mask: Column) -> Column:
+    """The part of a ring inside a convex counterclockwise mask (Sutherland-Hodgman); no vertices if nothing is shared."""
+    sides = _edges(mask, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def cut(kept, side):
+        a, b = side["a"], side["b"]
+        left = lambda p: (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
+
+        def edge(p, q):
+            t = left(p) / (left(p) - left(q))
+            at = F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y"))
+            here, there = left(p) >= 0, left(q) >= 0
+            return F.when(here & there, F.array(q)).when(here, F.array(at)).when(there, F.array(at, q)).otherwise(F.slice(F.array(q), 1, 0))
+
+        return F.flatten(_edges(kept, edge))
+
+    return F.aggregate(sides, ring, cut)
+
+
+def edges(ring: Column) -> Column:
+    """Array of struct<ax, ay, bx, by>, the closing edge included."""
+    return _edges(ring, lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))

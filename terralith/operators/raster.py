@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terralith.operators import graph
+
 
 def neighbours(cells: DataFrame, reach: int = 1) -> DataFrame:
     """row, col, dr, dc, value: each cell's value sent to the cells around it. One shuffle by target cell
@@ -39,3 +41,17 @@ def zonal(cells: DataFrame, zone: Column) -> DataFrame:
     v = F.col("value")
     z = cells.withColumn("zone_id", zone).where("zone_id IS NOT NULL").groupBy("zone_id")
     return z.agg(F.count(v).alias("n_cells"), F.sum(v).alias("total"), F.avg(v).alias("mean"), F.min(v).alias("low"), F.max(v).alias("high"), F.stddev_pop(v).alias("spread"))
+
+
+def block_mean(cells: DataFrame, factor: int) -> DataFrame:
+    """Downsampled by an integer factor: mean of the cells that hold a value."""
+    return cells.groupBy(F.floor(F.col("row") / factor).cast("int").alias("row"), F.floor(F.col("col") / factor).cast("int").alias("col")).agg(F.avg("value").alias("value"), F.count("value").alias("n_cells"))
+
+
+def patches(cells: DataFrame, columns: int) -> DataFrame:
+    """cells with patch: the least cell number of its 4-connected region."""
+    c = cells.withColumn("node", F.col("row").cast("long") * columns + F.col("col"))
+    step = F.array(F.struct(F.lit(0).alias("r"), F.lit(1).alias("c")), F.struct(F.lit(1).alias("r"), F.lit(0).alias("c")))
+    ahead = c.select(F.col("node").alias("a"), "row", "col", F.explode(step).alias("s")).select("a", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"))
+    linked = graph.components(ahead.join(c.select("row", "col", F.col("node").alias("b")), ["row", "col"]).select("a", "b"))
+    return c.join(linked, "node", "left").withColumn("patch", F.coalesce("component", "node")).drop("component", "node")

@@ -45,3 +45,29 @@ def simple_ols(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Slope, intercept and r2 of y on x, by group: one pass of sums."""
     slope = F.covar_pop(x, y) / F.var_pop(x)
     return df.groupBy(*by).agg(F.count("*").alias("n"), slope.alias("slope"), (F.avg(y) - slope * F.avg(x)).alias("intercept"), (F.pow(F.corr(x, y), 2)).alias("r2"))
+
+
+def spearman(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
+    """Rank correlation of each group, ties by average rank. Values are counted first, so that a window sorts
+    the distinct values of a group, not its rows."""
+
+    def ranks(c: str, name: str) -> DataFrame:
+        w = Window.partitionBy(by).orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
+        n = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(by, c).agg(F.count("*").alias("m"))
+        return n.select(by, c, (F.sum("m").over(w) - (F.col("m") - 1) / 2).alias(name))
+
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(by, x, y).agg(F.count("*").alias("m"))
+    r = pairs.join(ranks(x, "rx"), [by, x]).join(ranks(y, "ry"), [by, y])
+    m, a, b = F.col("m"), F.col("rx"), F.col("ry")
+    s = r.groupBy(by).agg(F.sum("m").alias("n"), *[F.sum(m * v).alias(k) for k, v in (("a", a), ("b", b), ("ab", a * b), ("aa", a * a), ("bb", b * b))])
+    return s.selectExpr(by, "n", "(n * ab - a * b) / (sqrt(n * aa - a * a) * sqrt(n * bb - b * b)) AS rho")
+
+
+def two_regressors(df: DataFrame, by: str, x1: str, x2: str, y: str) -> DataFrame:
+    """Coefficients b0, b1, b2 of y on two columns by group, from one pass of moments."""
+    m = df.groupBy(by).agg(
+        F.count("*").alias("n"), F.var_pop(x1).alias("s11"), F.var_pop(x2).alias("s22"), F.covar_pop(x1, x2).alias("s12"), F.covar_pop(x1, y).alias("s1y"), F.covar_pop(x2, y).alias("s2y"),
+        F.avg(x1).alias("m1"), F.avg(x2).alias("m2"), F.avg(y).alias("my"),
+    )
+    b = m.selectExpr("*", "(s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1", "(s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2")
+    return b.selectExpr(by, "n", "my - b1 * m1 - b2 * m2 AS b0", "b1", "b2")
