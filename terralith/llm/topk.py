@@ -9,7 +9,9 @@ bound what is missing. What survives is scored exactly.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part, nor do rows
 without an id; shorter vectors count as padded with zeros; rows with the query's own id are not its
-candidates; equal scores go by the smaller id; an empty table gives an empty result.
+candidates; equal scores go by the smaller id; an empty table gives an empty result. Repeated rows count as
+often as they are stored, as in the SQL: each copy of a candidate takes a rank of its own, and a query stored
+m times pairs m times with every candidate, all under its one query_id.
 """
 
 from __future__ import annotations
@@ -36,6 +38,12 @@ def integers(vectors: DataFrame) -> DataFrame:
     return rows.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e))
 
 
+def copies(rows: DataFrame, k: int) -> DataFrame:
+    """Every (vec_id, v) as often as it is stored; k copies fill all ranks, so further ones can't change a result."""
+    held = rows.groupBy("vec_id", "v").agg(F.max("norm2").alias("norm2"), F.least(F.count("*"), F.lit(k)).cast("int").alias("copies"))
+    return held.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("vec_id", "v", "norm2")
+
+
 def _matrix(column, d: int) -> np.ndarray:
     """Rows as float64 (whole numbers), padded to d columns."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -118,16 +126,16 @@ def _search(queries: DataFrame, blocks: DataFrame, d: int, rotation: np.ndarray,
 
 
 def _first(found: DataFrame, k: int) -> DataFrame:
-    best = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
     return found.groupBy("query_id").agg(best.alias("b"))
 
 
 def search(vectors: DataFrame, is_query, k: int = K, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of all other rows for the rows where is_query holds."""
+    """query_id, rank, vec_id, score: the k best of all other rows, copies included, for the rows where is_query holds."""
     rows = integers(vectors)
     n, d = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     parts = max(1, -(-n // block))
-    placed = rows.repartitionByRange(parts, F.col("norm2").desc(), F.col("vec_id")).withColumn("block", F.spark_partition_id())
+    placed = copies(rows, k).repartitionByRange(parts, F.col("norm2").desc(), F.col("vec_id")).withColumn("block", F.spark_partition_id())
     placed = materialize(placed, "topk-blocks")
     d = d or 1
     gram = np.zeros((d, d))

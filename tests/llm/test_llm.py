@@ -108,6 +108,28 @@ def test_topk_equals_brute_force(spark, block):
     assert topk.search(d.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("block", [7, 4096])
+def test_topk_keeps_repeated_rows_as_its_sql_does(spark, block):
+    import duckdb
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    v = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 8.0]) for i in range(120)]
+    # the best row of query 0 stored five times, its second twice; two vectors of one id in blocks far apart, each repeated
+    v += [(300, [2 * x for x in v[0][1]])] * 5 + [(301, [1.5 * x for x in v[0][1]])] * 2
+    v += [(302, [2 * x for x in v[50][1]])] * 2 + [(302, [x / 8 for x in v[50][1]])] * 9
+    # a query stored twice, and one under two vectors
+    v += [v[50], (100, [x / 2 for x in v[100][1]])]
+    d = spark.createDataFrame(v, "vec_id long, embedding array<double>").repartition(3)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", v)
+    want = con.sql(topk.ORACLE_SQL).fetchall()
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.search(d, F.col("vec_id") % 50 == 0, block=block).collect()]
+    assert [i for q, _, i, _ in sorted(got) if q == 0] == [300] * 5
+    assert sorted(got) == sorted(want) and all(sum(q == x for q, *_ in got) == 5 for x in (0, 50, 100, 300))
+
+
 def test_bpe_joins_and_round_trip(docs, texts, empty):
     c = bpe.default_codec()
     for alphabet in ("ab", "aeiou", "é漢", "= -"):
