@@ -127,13 +127,31 @@ e AS (SELECT a.node AS a, b.node AS b, sqrt({_D2}) AS w FROM p a JOIN p b ON a.n
 {', '.join(_LEG.format(n=k + 1, m=k) for k in range(4))} SELECT CAST(floor(d / 500) AS INT) AS ring, count(*) AS n, round(avg(d), 3) AS mean_m FROM b4 GROUP BY 1""")
 def network_reach(spark, sf_dir):
     """Distance from the nearest supplier along legs of up to 1.5 km between points, four legs at most."""
-    p = fx.points(spark, sf_dir).groupBy("x", "y").agg(F.max(F.col("kind") == "SUPPLIER").alias("source")).withColumn("node", F.col("x") * 100000 + F.col("y"))
+    return rings(reach(fx.points(spark, sf_dir), legs=4))
+
+
+def reach(points, legs=None):
+    """node (a place), distance from the nearest supplier's place over legs of up to 1.5 km."""
+    p = points.groupBy("x", "y").agg(F.max(F.col("kind") == "SUPPLIER").alias("source")).withColumn("node", F.col("x") * 100000 + F.col("y"))
     q = p.select("node", "x", "y")
     e = graph.cut(spatial_join.join_near(q, q, 1500.0).where("node <> r_node").select(F.col("node").alias("a"), F.col("r_node").alias("b"), F.sqrt("d2").alias("w")))
-    d = graph.shortest_paths(e, p.where("source").select("node"), legs=4)
+    return graph.shortest_paths(e, p.where("source").select("node"), legs=legs)
+
+
+def rings(d):
     return d.groupBy(F.floor(F.col("distance") / 500).cast("int").alias("ring")).agg(F.count("*").alias("n"), F.round(F.avg("distance"), 3).alias("mean_m"))
 
 
+@query(f"""{_C.replace('WITH', 'WITH RECURSIVE', 1)}, p AS (SELECT x, y, max(kind = 'SUPPLIER') AS source, x * 100000 + y AS node FROM points GROUP BY x, y),
+e AS (SELECT a.node AS a, b.node AS b, sqrt({_D2}) AS w FROM p a JOIN p b ON a.node <> b.node AND {_D2} <= 2250000),
+r(node, d) USING KEY (node) AS (SELECT node, 0.0::DOUBLE FROM p WHERE source
+  UNION SELECT e.b, min(r.d + e.w) FROM r JOIN e ON e.a = r.node LEFT JOIN recurring.r AS k ON k.node = e.b WHERE r.d + e.w < coalesce(k.d, 'inf'::DOUBLE) GROUP BY e.b)
+SELECT CAST(floor(d / 500) AS INT) AS ring, count(*) AS n, round(avg(d), 3) AS mean_m FROM r GROUP BY 1""")
+def network_reach_all(spark, sf_dir):
+    """network_reach to the end: every point that any number of legs leads to."""
+    return rings(reach(fx.points(spark, sf_dir)))
+
+
 @query(f"{with_layers('cells')} SELECT CAST(floor(row / 3) AS INT) AS row, CAST(floor(col / 3) AS INT) AS col, round(avg(value), 4) AS value, count(value) AS n_cells FROM cells GROUP BY ALL")
 def resample_blocks(spark, sf_dir):
     return raster.block_mean(fx.cells(spark, sf_dir), 3).select("row", "col", r4(F.col("value"), "value"), "n_cells")
