@@ -197,6 +197,58 @@ def test_personal_patterns_and_field(spark):
     assert personal.patterns("x" * 200_000 + "@" + "1" * 100_000) == []
 
 
+def undivided(field, line):
+    """Labels of all words of a line by one Viterbi over the whole chain, without caches; words without a mark are O."""
+    ws = [w for _, _, w in personal.words(line)]
+    step, best, back = field.step + personal._allowed(), None, []
+    for j, w in enumerate(ws):
+        features = personal._features(ws[j - 1] if j else "", w, ws[j + 1] if j + 1 < len(ws) else "")
+        e = field.emit[[field.index[f] for f in features if f in field.index]].sum(axis=0)
+        if not personal._MARK.search(w):
+            e[1:] -= 1e9
+        if j:
+            through = best[:, None] + step
+            back.append(through.argmax(axis=0))
+            best = through.max(axis=0) + e
+        else:
+            best = e + personal._START
+    path = [int(best.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return path[::-1]
+
+
+@pytest.mark.parametrize("seed", [None, 1, 2])
+def test_personal_runs_equal_the_undivided_chain(seed, monkeypatch):
+    field = personal.crf()
+    if seed is not None:
+        rng = np.random.default_rng(seed)
+        field.emit, field.step = rng.normal(size=field.emit.shape), rng.normal(size=field.step.shape) * 2
+    pick = random.Random(11)
+    some = ["call", "on", "and", ",", "the", "586-555-8430", "2019", "(212)", "555-0143", "10.0.0.7", "a@b.de", "4101", "2252", "3.5", "x1", "@", "+1", "1-800-555-0100"]
+    lines = [" ".join(pick.choice(some) for _ in range(pick.randint(1, 9))) for _ in range(300)]
+    monkeypatch.setattr(personal, "_valid", lambda kind, text: True)
+    for line, got in zip(lines, personal.more_spans(field, lines, [[] for _ in lines]), strict=True):
+        want, ws = [], personal.words(line)
+        for (a, b, _), label in zip(ws, undivided(field, line), strict=True):
+            name = personal.LABELS[label]
+            if name[0] == "B":
+                want.append((name[2:], a, b))
+            elif name[0] == "I":
+                want[-1] = (want[-1][0], want[-1][1], b)
+        assert got == want, line
+
+
+def test_personal_scores_of_long_words_do_not_depend_on_their_order():
+    field = personal.crf()
+    long = ["a" * 70, "a" * 70 + "1", "a" * 70 + "1234.5", "a" * 70 + "@b.c.de", "b" * 70 + "12", "-1" * 40, "-1" * 40 + ".1.2.3.4", "4591609523969405" * 3, "." * 70, "+" + "1." * 40]
+    for order in (long, long[::-1]):
+        field.known.clear()
+        for w in order:
+            want = field.emit[[field.index[f] for f in personal._features("on", w, "at") if f in field.index]].sum(axis=0)
+            assert np.allclose(field.scores("on", w, "at"), want), w
+
+
 def test_mixing_targets_and_shares(docs, texts, empty):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(texts) and mixing.mix(empty).count() == 0
