@@ -2,9 +2,10 @@
 one-versus-rest kernel ridge regression.
 
 The kernel of two texts is the number of 1- to 3-grams of letters and spaces that both hold, over the
-square root of the product of their own numbers. Grams are those of the landmarks' texts. Landmarks and
-training rows are a sample of labelled rows: per language up to PER_LANGUAGE texts of at most TRAIN_CHARS
-code points, chosen by a hash of doc_id. Scoring is over whole texts, in batches: one flag for each gram a
+square root of the product of their own numbers. Grams are those of the landmarks' texts, in any script. Landmarks
+and training rows are a sample of labelled rows: per language up to PER_LANGUAGE texts of at most TRAIN_CHARS
+code points, chosen by a hash of doc_id; over MAX_LANGUAGES languages share what so many would get, at least one
+text each, so none is left out. Scoring is over whole texts, in batches: one flag for each gram a
 text holds, times a matrix that folds the landmark kernels and the ridge weights together.
 
 Defined results: texts that are null or hold no letter get `und` and score 0; where no labelled row is
@@ -14,6 +15,7 @@ given, all do; repeated rows get equal results; an empty table gives an empty re
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,53 +23,46 @@ from pyspark.sql import functions as F
 
 from terralith.llm.common import small_batches, table
 
-#: Bounds of the training sample: texts a language, code points a text, and languages.
+#: Bounds of the training sample: texts a language, code points a text, and languages that get so many texts.
 PER_LANGUAGE, TRAIN_CHARS, MAX_LANGUAGES = 300, 20_000, 500
 LANDMARKS = 60
+#: Rows are drawn by a hash below this, so that a share of any number of rows can be told.
+DRAWS = 10**15
 RIDGE = 1e-3
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """By code point: a letter's code point + 1, anything else 1 (a space)."""
+    return np.array([c + 1 if chr(c).isalpha() else 1 for c in range(0x110000)], np.int64)
+
+
 class Grams:
-    """Codes of the 1- to 3-grams over an alphabet; characters outside it are one more letter."""
-
-    def __init__(self, texts: list[str], letters: int = 126):
-        seen: dict[str, int] = {}
-        for t in texts:
-            for ch in t.lower():
-                if ch.isalpha():
-                    seen[ch] = seen.get(ch, 0) + 1
-        best = sorted(seen, key=lambda c: (-seen[c], c))[:letters]
-        self.size = len(best) + 2
-        self.table = np.ones(0x110000, np.uint8)
-        self.table[[c for c in range(0x3000) if not chr(c).isalpha()]] = 0
-        for k, ch in enumerate(best):
-            self.table[ord(ch)] = k + 2
-        self.index = None
+    """Codes of 1- to 3-grams: three letters of 21 bits each (0: none) in 63 bits, so no two grams share a code."""
+
+    known = np.zeros(0, np.int64)
 
     def codes(self, text: str) -> np.ndarray:
         """All gram codes of a text; runs of other characters are one space."""
-        a = self.table[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)].astype(np.int32)
+        a = _letters()[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
         if not len(a):
             return a
-        a = a[np.r_[True, (a[1:] != 0) | (a[:-1] != 0)]]
-        n = self.size
-        two = a[:-1] * n + a[1:]
-        three = two[:-1] * n + a[2:]
-        return np.concatenate([a, n + two, n + n * n + three])
+        a = a[np.r_[True, (a[1:] != 1) | (a[:-1] != 1)]]
+        two = a[:-1] << 21 | a[1:]
+        return np.concatenate([a, two, two[:-1] << 21 | a[2:]])
 
     def keep(self, codes: list[np.ndarray]) -> int:
         """From now on only grams of these texts count; their number."""
-        known = np.unique(np.concatenate(codes))
-        self.index = np.full(self.size + self.size**2 + self.size**3, -1, np.int32)
-        self.index[known] = np.arange(len(known))
-        return len(known)
+        self.known = np.unique(np.concatenate(codes))
+        return len(self.known)
 
     def present(self, text: str, flags: np.ndarray) -> np.ndarray:
         """Known grams of a text; flags is scratch space, left as it was."""
-        at = self.index[self.codes(text)]
-        flags[at[at >= 0]] = True
+        codes = self.codes(text)
+        at = np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1)
+        flags[at[self.known[at] == codes]] = True
         found = np.flatnonzero(flags)
         flags[found] = False
         return found
@@ -79,8 +74,9 @@ class Model:
     def __init__(self, texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
         self.langs = sorted(set(langs))
         order = sorted(range(len(texts)), key=lambda i: (langs[i], i))
+        landmarks = share_out(landmarks, len(self.langs))
         marks = [i for name in self.langs for i in [k for k in order if langs[k] == name][:landmarks]]
-        self.grams = Grams([texts[i] for i in marks])
+        self.grams = Grams()
         v = self.grams.keep([self.grams.codes(texts[i]) for i in marks])
         self.flags = np.zeros(v, bool)
 
@@ -121,17 +117,29 @@ class Model:
         return names, scores
 
 
+def share_out(each: int, languages: int) -> int:
+    """What a language gets of each."""
+    return max(1, min(each, each * MAX_LANGUAGES // languages))
+
+
+def threshold(rows: int, per_language: int) -> int:
+    """Draws below it take about 1.5 x per_language + 20 of so many rows, so that a small share never comes out empty."""
+    return min(DRAWS, -(-(3 * per_language + 40) * DRAWS // (2 * rows)))
+
+
 def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
     """Texts and languages of the training sample, the same in every run; labelled: doc_id, text, lang."""
     sound = labelled.where(F.col("lang").isNotNull() & (F.char_length("text") <= TRAIN_CHARS) & F.col("text").rlike(r"\p{L}"))
-    sizes = {r["lang"]: r["n"] for r in sound.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in sound.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return [], []
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1_000_000))
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(min(1.0, 1.5 * per_language / n) * 1_000_000)))])
-    # about 1.5 x per_language texts a language come to the driver, and no more than twice as many
-    rows = sound.select("lang", "text", draw.alias("d"), F.xxhash64("text").alias("h")).where(F.col("d") < F.get(F.array(share[F.col("lang")]), F.lit(0)))
-    rows = rows.limit(2 * per_language * len(sizes) + 1000).collect()
+    per_language = share_out(per_language, len(sizes))
+    part = lambda seed, below: F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), F.lit(below))
+    draw = part("language", 1_000_000) * F.lit(DRAWS // 1_000_000) + part("language-2", DRAWS // 1_000_000)
+    shares = labelled.sparkSession.createDataFrame([(k, threshold(n, per_language)) for k, n in sizes.items()], "lang string, below long")
+    # about 1.5 x per_language + 20 texts a language come to the driver, and no more than twice as many
+    rows = sound.select("lang", "text", draw.alias("d"), F.xxhash64("text").alias("h")).join(F.broadcast(shares), "lang").where("d < below").drop("below")
+    rows = rows.limit((3 * per_language + 40) * len(sizes) + 1000).collect()
     out, taken = [], {}
     for r in sorted(rows, key=lambda r: (r["d"], r["h"])):
         if taken.setdefault(r["lang"], 0) < per_language:

@@ -166,6 +166,31 @@ def test_language_held_out(spark):
     assert [got[i]["lang_pred"] for i in (1, 2, 3)] == ["und"] * 3 and 0 <= got[4]["score"] <= 1
 
 
+def test_language_tells_scripts_of_many_letters_apart():
+    pick = random.Random(4)
+    # two parts of Han, kana and Hangul, the same lengths of words, beside Latin prose whose letters are most frequent
+    scripts = {"han-a": range(0x4E00, 0x5200), "han-b": range(0x6000, 0x6400), "kana": range(0x3042, 0x3090), "hangul": range(0xAC00, 0xB000)}
+    make = lambda codes: " ".join("".join(chr(pick.choice(codes)) for _ in range(6)) for _ in range(40))
+    rows = [(make(codes), name) for name, codes in scripts.items() for _ in range(90)] + [(prose(400), "latin") for _ in range(90)]
+    model = language.Model([t for t, _ in rows], [n for _, n in rows])
+    held = [(make(codes), name) for name, codes in scripts.items() for _ in range(25)]
+    assert model.predict([t for t, _ in held])[0] == [n for _, n in held]
+    a, b, c = (set(model.grams.codes(t).tolist()) for t in ("漢字", "漢子", "字漢"))
+    assert len(a & b) == 1 and len(a & c) == 2 and model.grams.codes("漢 - 7 字").tolist() == model.grams.codes("漢 字").tolist()
+
+
+def test_language_sample_leaves_no_language_out(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 3)
+    d = spark.createDataFrame([(k, f"word {k}", f"l{k % 5}") for k in range(40)] + [(99, "rare", "l9")], "doc_id long, text string, lang string")
+    texts, langs = language.sample(d, 4)
+    assert {x: langs.count(x) for x in set(langs)} == {**{f"l{k}": 2 for k in range(5)}, "l9": 1} and "rare" in texts
+    assert language.Model(texts, langs).langs == sorted(set(langs))
+    # the share of a language of any size draws about 1.5 x so many of its rows and 20
+    for n in (10**9, 10**12):
+        assert 470 <= language.threshold(n, 300) * n / language.DRAWS < 472
+    assert language.threshold(100, 300) == language.DRAWS
+
+
 @pytest.mark.parametrize("hot", [1, 32768])
 def test_repeats_equal_brute_force(docs, texts, empty, hot, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", hot)
