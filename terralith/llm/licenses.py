@@ -1,14 +1,16 @@
 """License scans: MinHash bands over overlapping windows find templates, exact containment verifies them.
 
 Texts and templates are runs of five-word shingles. Templates fall into width classes: a class of width w
-holds those of w/4 to w/2 shingles, and its windows of w shingles begin every w/2, so every run that
-could match lies whole inside a window. A window that contains 0.8 of a template has a Jaccard similarity
-of at least 0.8 (w/4) / (w + 0.2 w/4) = 0.19 with it; BANDS bands of one MinHash each then collide with a
-chance of 1 - (1 - 0.19) ** BANDS > 0.9999. Candidates are kept where the window holds at least 0.8 of the
-template's distinct shingles.
-
-Defined results: null, empty and wordless texts match nothing; a text or template of one to four words is
-one shingle; repeated rows match alike; an empty table gives an empty result. The templates are a table of
+holds those of w/4 to w/2 shingles, counted once and as often as they stand, and its windows of w shingles
+begin every w/2. A place of a template is a span of at most w shingles (so at least as many words as the
+template has may be put into it) with 0.8 of its distinct shingles. Two windows hold it between them, so their
+Jaccard similarities with the template add up to about 0.17 at least; BANDS bands of one MinHash each then
+miss both with a chance under (1 - 0.087) ** (2 BANDS) < 0.0002. Candidates are verified on the window and one
+width to both sides of it. Templates of one to four words are looked up as runs of their own length.
+
+Every distinct place is a row; places of one template don't overlap.
+
+Defined results: null, empty and wordless texts match nothing; a text of one to four words is one shingle; repeated rows match alike; an empty table gives an empty result. The templates are a table of
 at most MAX_TEMPLATES rows; more raise an error.
 """
 
@@ -45,14 +47,19 @@ class Templates:
     """Distinct shingles of every template, and by width class their MinHashes."""
 
     def __init__(self, rows: list[tuple[str, str]]):
-        sets = [(name, np.unique(shingle_hashes(words_of(text or "")))) for name, text in rows]
-        self.sets = [(name, s) for name, s in sets if len(s)]
+        runs = [(name, words_of(text or "")) for name, text in rows]
+        self.short = {n: [(name, shingle_hashes(w, n)[0]) for name, w in runs if len(w) == n] for n in range(1, 5)}
+        sets = [(name, shingle_hashes(w)) for name, w in runs if len(w) > 4]
+        self.times = [dict(zip(*(x.tolist() for x in np.unique(s, return_counts=True)), strict=True)) for _, s in sets]
+        self.sets = [(name, np.unique(s)) for name, s in sets]
         self.classes: dict[int, np.ndarray] = {}
-        for k, (_, s) in enumerate(self.sets):
-            width = 2
-            while len(s) > width // 2:
-                width *= 2
-            self.classes.setdefault(width, []).append(k)
+        self.width = [2] * len(sets)
+        for k, (_, s) in enumerate(sets):
+            for n in (len(self.sets[k][1]), len(s)):
+                while n > self.width[k] // 2:
+                    self.width[k] *= 2
+                if k not in self.classes.setdefault(self.width[k], []):
+                    self.classes[self.width[k]].append(k)
         mins = np.array([[(mix(s ^ seed)).min() for seed in _SEEDS] for _, s in self.sets], np.uint64).reshape(len(self.sets), BANDS)
         self.tables = {}
         for width, members in self.classes.items():
@@ -89,16 +96,64 @@ class Templates:
                         found.add((t, int(starts[w]), min(int(starts[w]) + width, int(first[t + 1])), int(members[side])))
         return found
 
-    def matches(self, shingles: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], tuple[float, int]]:
-        """(text, template) -> (containment of its best window, first shingle of that window that matches)."""
-        best: dict[tuple[int, int], tuple[float, int]] = {}
+    def places(self, shingles: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """(containment, first shingle) of the distinct places of a template in a run of shingles."""
+        times, width = self.times[k], self.width[k]
+        at = np.flatnonzero(np.isin(shingles, self.sets[k][1])).tolist()
+        hits, need = shingles[at].tolist(), CONTAINED * len(times)
+        out, i, j, free = [], 0, 0, 0
+        held: dict[int, int] = {}
+
+        def drop(h):
+            held[h] -= 1
+            if not held[h]:
+                del held[h]
+
+        while j < len(at):
+            held[hits[j]] = held.get(hits[j], 0) + 1
+            j += 1
+            while at[j - 1] - at[i] >= width:
+                drop(hits[i])
+                i += 1
+            if len(held) < need:
+                continue
+            while len(held) > need or held[hits[i]] > 1:
+                if held[hits[i]] == 1 and len(held) - 1 < need:
+                    break
+                drop(hits[i])
+                i += 1
+            # what else of this occurrence follows, then what goes before: no shingle more often than in the template
+            while j < len(at) and at[j] - at[i] < width and held.get(hits[j], 0) < times[hits[j]]:
+                held[hits[j]] = held.get(hits[j], 0) + 1
+                j += 1
+            while i > free and at[j - 1] - at[i - 1] < width and held.get(hits[i - 1], 0) < times[hits[i - 1]]:
+                i -= 1
+                held[hits[i]] = held.get(hits[i], 0) + 1
+            out.append((len(held) / len(times), at[i]))
+            held.clear()
+            i = free = j
+        return out
+
+    def matches(self, shingles: np.ndarray, first: np.ndarray) -> list[tuple[int, str, float, int]]:
+        """(text, template, containment, first shingle) of every distinct place."""
+        spans: dict[tuple[int, int], list[list[int]]] = {}
         for t, a, b, k in sorted(self.windows(shingles, first)):
-            s = self.sets[k][1]
-            hit = np.flatnonzero(np.isin(shingles[a:b], s))
-            share = len(np.unique(shingles[a:b][hit])) / len(s)
-            if share >= CONTAINED and share > best.get((t, k), (0.0, 0))[0]:
-                best[t, k] = (share, int(a + hit[0] - first[t]))
-        return best
+            a, b = max(int(first[t]), a - self.width[k]), min(int(first[t + 1]), b + self.width[k])
+            of = spans.setdefault((t, k), [])
+            if of and a <= of[-1][1]:
+                of[-1][1] = max(of[-1][1], b)
+            else:
+                of.append([a, b])
+        return [(t, self.sets[k][0], share, a + at - int(first[t])) for (t, k), of in spans.items() for a, b in of for share, at in self.places(shingles[a:b], k)]
+
+    def exact(self, words: np.ndarray) -> list[tuple[str, float, int]]:
+        """(template, containment, first word) of the templates of one to four words in a text's words."""
+        out = []
+        for n, members in self.short.items():
+            if members and len(words) >= n:
+                runs = shingle_hashes(words, n)
+                out += [(name, 1.0, int(x)) for name, h in members for x in np.flatnonzero(runs == h)]
+        return out
 
 
 def bounded_templates(templates: DataFrame) -> list[tuple[str, str]]:
@@ -109,7 +164,7 @@ def bounded_templates(templates: DataFrame) -> list[tuple[str, str]]:
 
 
 def scan(docs: DataFrame, templates: DataFrame) -> DataFrame:
-    """doc_id, template_id, containment, start_word: a row for each template that a row of docs holds."""
+    """doc_id, template_id, containment, start_word: a row for each place of a template in a row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
     known = spark.sparkContext.broadcast(Templates(bounded_templates(templates)))
@@ -128,9 +183,11 @@ def scan(docs: DataFrame, templates: DataFrame) -> DataFrame:
                 first = np.cumsum([0, *map(len, each)])
                 if not first[-1]:
                     continue
-                for (t, k), (share, start) in sorted(known.value.matches(np.concatenate(each), first).items()):
+                found = known.value.matches(np.concatenate(each), first)
+                found += [(t, *x) for t, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) for x in known.value.exact(words[a:b])]
+                for t, *x in sorted(found):
                     rows.append(lo + t)
-                    out.append((known.value.sets[k][0], share, start))
+                    out.append(x)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.int64())],
                 ["doc_id", "template_id", "containment", "start_word"],

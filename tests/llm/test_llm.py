@@ -154,6 +154,21 @@ def test_licenses_equal_containment(spark, empty):
     assert licenses.scan(empty, t).count() == 0
 
 
+def test_licenses_find_every_place(spark):
+    grant = dict(licenses.NOTICES)["mit-grant"].split(" ")
+    phrase = [f"put{k}" for k in range(24)]
+    cut_open = " ".join([*grant[:33], *phrase, *grant[33:]])
+    before = [" ".join(f"b{k}" for k in range(n)) for n in range(0, 70, 3)]
+    rows = [(n, f"{t} {cut_open} and so on".strip()) for n, t in enumerate(before)]
+    twice = " ".join([*(f"c{k}" for k in range(40)), *grant, "then", *grant, *(f"d{k}" for k in range(500)), *grant])
+    rows += [(100, twice), (101, "x y All Rights reserved. z all rights reserved."), (102, "all rights"), (103, " ".join(grant[:40]))]
+    t = licenses.notices(spark).union(spark.createDataFrame([("arr", "All rights reserved."), ("spdx", "SPDX-License-Identifier: MIT")], "template_id string, text string"))
+    got = [tuple(r) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), t).collect()]
+    n = len(grant) - 4
+    assert sorted(x for x in got if x[0] < 100) == [(k, "mit-grant", (n - 4) / n, 3 * k) for k in range(len(before))]
+    assert sorted(x for x in got if x[0] >= 100) == [(100, "mit-grant", 1.0, 40), (100, "mit-grant", 1.0, 41 + len(grant)), (100, "mit-grant", 1.0, 541 + 2 * len(grant)), (101, "arr", 1.0, 2), (101, "arr", 1.0, 6)]
+
+
 def test_language_held_out(spark):
     from pyspark.sql import functions as F
 
