@@ -91,18 +91,15 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACES)] = True
-_P = np.uint64(0x9E3779B97F4A7C15)
-_pow = np.ones(1, np.uint64)
+_NEAR = 64
 
 
-def _powers(n: int) -> np.ndarray:
-    """At least n powers of the (odd) base, modulo 2^64."""
-    global _pow
-    if len(_pow) < n:
-        steps = np.full(max(n, 64, 2 * len(_pow)), _P)
-        steps[0] = 1
-        _pow = np.cumprod(steps, dtype=np.uint64)
-    return _pow
+def _letters(codes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each byte at its place in a word, without any structure a text could exploit."""
+    return mix(mix(places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x2545F4914F6CDD1D)) + codes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+_TABLE = _letters(np.tile(np.arange(256), _NEAR), np.repeat(np.arange(_NEAR), 256))
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -124,8 +121,10 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     begins = np.searchsorted(where, starts)
     lengths = np.diff(np.append(begins, len(where)))
     inside = np.arange(len(where)) - np.repeat(begins, lengths)
-    powers = _powers(int(lengths.max()))
-    value = (text[where].astype(np.uint64) + np.uint64(1)) * powers[inside]
+    value = _TABLE[text[where] + 256 * np.minimum(inside, _NEAR - 1)]
+    far = np.flatnonzero(inside >= _NEAR)
+    if len(far):
+        value[far] = _letters(text[where[far]], inside[far])
     hashed = mix(np.add.reduceat(value, begins) ^ lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     return hashed, starts, starts + lengths, np.searchsorted(starts, offsets)
 

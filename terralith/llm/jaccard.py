@@ -34,8 +34,10 @@ from terralith.llm.graph import components
 
 SIZE, PERCENT = 5, 80
 #: Counters of the sketch, and hash functions for the first comparison with central nodes.
-SKETCH, PERMUTATIONS = 1 << 16, 16
-AGREEING = 6
+SKETCH, PERMUTATIONS = 1 << 16, 8
+AGREEING = 3
+#: A key that holds more than one part in HOT of all rows is joined by broadcast: there are HOT such keys at most.
+HOT = 4096
 #: Cost of verifying a candidate, in prefix entries shuffled; other nodes that any shingle is taken to
 #: meet beyond what the sketch can tell; the longest lengthening, as a part of the set.
 VERIFY_COST, UNSEEN, MOST = 64, 0.05, 8
@@ -113,20 +115,44 @@ def profile(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.where("bucket IS NULL").drop("bucket", "count"), both.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("count"))
 
 
+def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of two tables that both grow with the input: never a broadcast."""
+    return left.join(right.hint("merge"), on, how)
+
+
+def joined_by_key(rows: DataFrame, keys: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with the columns of keys (one row a key; m: how many of the total rows hold it).
+
+    Rows of hot keys stay where they are and meet a broadcast of at most HOT keys; only the rest is shuffled.
+    """
+    limit = max(1, total // HOT)
+    hot = keys.where(F.col("m") > limit)
+    marked = rows.join(F.broadcast(hot.select(key, F.lit(True).alias("__hot"))), key, "left")
+    cold = merged(marked.where("__hot IS NULL").drop("__hot"), keys.where(F.col("m") <= limit), key)
+    return cold.unionByName(rows.join(F.broadcast(hot), key))
+
+
 def central_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b): each node with the most central node of its MinHash buckets.
+    """(a, b): each node with the most central node of its MinHash buckets.
 
     A node is the more central, the larger the buckets of all its MinHashes are. Pairs that agree in few
     of them are left to the join.
     """
-    each = materialize(nodes.select("node", "n", F.posexplode("mh").alias("i", "v")), "jaccard-minhash")
-    sizes = each.groupBy("i", "v").agg(F.count("*").alias("m")).where("m > 1")
-    kept = materialize(each.join(sizes, ["i", "v"]), "jaccard-buckets")
-    score = kept.groupBy("node").agg(F.sum(F.log("m")).alias("score"))
-    kept = materialize(kept.join(score, "node"), "jaccard-scores")
-    best = kept.groupBy("i", "v").agg(F.max(F.struct(F.round("score", 6).alias("score"), (-F.col("node")).alias("neg"), "n")).alias("best"))
-    pairs = kept.join(best, ["i", "v"]).select((-F.col("best.neg")).alias("a"), F.col("node").alias("b"), F.col("best.n").alias("n_a"), F.col("n").alias("n_b")).where("a <> b")
-    return pairs.where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").groupBy("a", "b").agg(F.count("*").alias("same")).where(F.col("same") >= AGREEING).select("a", "b")
+    each = nodes.select("node", F.posexplode("mh").alias("i", "v")).select("node", F.xxhash64("i", "v").alias("bucket"))
+    sizes = materialize(each.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "jaccard-buckets")
+    total = PERMUTATIONS * nodes.count()
+    # one row a node again, so that its score needs no join
+    held = joined_by_key(each, sizes, "bucket", total).groupBy("node").agg(F.collect_list("bucket").alias("buckets"), F.round(F.sum(F.log("m")), 6).alias("score"))
+    held = materialize(held, "jaccard-scores")
+    kept = held.select("node", "score", F.explode("buckets").alias("bucket"))
+    best = kept.groupBy("bucket").agg(F.count("*").alias("m"), F.max(F.struct("score", (-F.col("node")).alias("neg"))).alias("best"))
+    best = best.select("bucket", "m", (-F.col("best.neg")).alias("a"))
+    pairs = joined_by_key(kept.select("node", "bucket"), materialize(best, "jaccard-best"), "bucket", total)
+    pairs = pairs.select("a", F.col("node").alias("b")).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("same")).where(F.col("same") >= AGREEING)
+    size = nodes.select("node", "n")
+    pairs = merged(pairs, size.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a")
+    pairs = merged(pairs, size.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
+    return pairs.where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").select("a", "b")
 
 
 def _packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -184,11 +210,11 @@ def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (a, b; a written table) of similar nodes, as _compare gives them. The work of a
     node with many pairs is dealt over groups that each get a copy of its text."""
     degree = pairs.groupBy("a").agg(F.count("*").alias("m"))
-    dealt = pairs.join(degree, "a").select(F.col("a").alias("hub"), F.col("b").alias("other"), F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / GROUP)).cast("int").alias("salt"))
+    dealt = merged(pairs, degree, "a").select(F.col("a").alias("hub"), F.col("b").alias("other"), F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / GROUP)).cast("int").alias("salt"))
     both = dealt.union(dealt.select("hub", F.col("hub").alias("other"), "salt").distinct())
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = both.join(_packed(docs, ids).withColumnRenamed("node", "other"), "other").select("hub", "salt", "other", "z")
+    rows = merged(both, _packed(docs, ids).withColumnRenamed("node", "other"), "other").select("hub", "salt", "other", "z")
     rows = rows.repartition(n, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("other") != F.col("hub"))
     return materialize(rows.mapInArrow(_compare, "a bigint, b bigint, linked boolean, n int, s1 bigint, delta array<bigint>"), "jaccard-compared")
 
@@ -235,51 +261,91 @@ def difference_links(groups: DataFrame, labels: DataFrame) -> DataFrame:
     return near.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
 
 
-def candidates(docs: DataFrame, nodes: DataFrame, labels: DataFrame, groups: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Pairs of nodes of different components and hubs that share enough of their prefixes."""
-    counts = np.zeros(SKETCH, np.int64)
-    for r in sketch.collect():  # SKETCH rows at most
-        counts[r["bucket"]] = r["count"]
+def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """Per row node, s1, n, matches, small (the length of the prefix against larger sets), the place of the
+    last token in the order of all tokens, and the prefix itself."""
     usual = float(np.median(counts)) + 3 * float(np.median(counts)) ** 0.5
 
-    def prefixes(batches):
+    def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            ids = batch.column("doc_id")
-            rows, found = [], []
+            rows, found, sizes, names = [], [], [], []
             for k, s in _sets(batch):
                 if len(s):
                     rows.append(k)
-                    found.append((*prefix(s, counts, usual), len(s), np.bitwise_xor.reduce(mix(s))))
-            ends = np.cumsum([0, *(len(f[2]) for f in found)])
-            flat = np.concatenate([f[2] for f in found]) if found else np.zeros(0, np.uint64)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_i64(flat), pa.int64()))
+                    found.append(prefix(s, counts, usual))
+                    sizes.append(len(s))
+                    names.append(np.bitwise_xor.reduce(mix(s)))
+            tokens = [f[2] for f in found]
+            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
+            ends = np.cumsum([0, *map(len, tokens)])
+            last = np.array([t[-1] for t in tokens], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(rows, pa.int64())), pa.array(_i64([f[4] for f in found])), pa.array([f[3] for f in found], pa.int32()), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32()),
-                 pa.array([int(counts[_slot(f[2][-1:])][0]) for f in found], pa.int64()), pa.array(_i64([f[2][-1] ^ np.uint64(1 << 63) for f in found])), lists],
+                [
+                    batch.column("doc_id").take(pa.array(rows, pa.int64())),
+                    pa.array(_i64(names)),
+                    pa.array(sizes, pa.int32()),
+                    pa.array([f[0] for f in found], pa.int32()),
+                    pa.array([f[1] for f in found], pa.int32()),
+                    pa.array(counts[_slot(last)], pa.int64()),
+                    pa.array(_i64(last ^ np.uint64(1 << 63))),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_i64(flat), pa.int64())),
+                ],
                 ["node", "s1", "n", "matches", "small", "seen", "last", "tokens"],
             )
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    own = own.mapInArrow(prefixes, "node bigint, s1 bigint, n int, matches int, small int, seen bigint, last bigint, tokens array<bigint>")
+    return own.mapInArrow(run, "node bigint, s1 bigint, n int, matches int, small int, seen bigint, last bigint, tokens array<bigint>")
+
+
+def _met_tokens(own: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(token, s1, small) of the tokens that prefixes of different sets hold.
+
+    These rows are the bulk of the join and carry nothing else. A token that may be in more than one part
+    in HOT of all shingles is known from the sketch; its rows are combined before they are shuffled.
+    """
+    hot_slots = np.flatnonzero(counts > max(1, int(counts.sum()) // HOT)).tolist()  # HOT at most
+    each = own.select("s1", "small", F.posexplode("tokens").alias("at", "token")).select("token", "s1", (F.col("at") < F.col("small")).alias("small"))
+    hot = F.col("token").bitwiseAND(F.lit(SKETCH - 1)).isin(hot_slots)
+    by = Window.partitionBy("token")
+    cold = each.where(~hot).withColumn("lo", F.min("s1").over(by)).withColumn("hi", F.max("s1").over(by)).where("lo <> hi")
+    cold = cold.groupBy("token", "s1").agg(F.max("small").alias("small"))
+    once = each.where(hot).groupBy("token", "s1").agg(F.max("small").alias("small"))
+    once = materialize(once, "jaccard-hot-tokens")
+    keys = once.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
+    return cold.unionByName(joined_by_key(once, keys, "token", once.count()).drop("m"))
+
+
+def candidates(docs: DataFrame, nodes: DataFrame, labels: DataFrame, groups: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Pairs of nodes of different components and hubs that share enough of their prefixes."""
+    counts = np.zeros(SKETCH, np.int64)
+    for r in sketch.collect():  # SKETCH rows at most
+        counts[r["bucket"]] = r["count"]
+    own = materialize(prefixes(docs, counts), "jaccard-prefixes")
     hubs = groups.select("node", "s1", "hub").union(groups.selectExpr("hub AS node", "CAST(NULL AS BIGINT) AS s1", "hub").distinct())
-    named = nodes.select("node", "s1").join(labels, "node", "left").alias("n").join(hubs.alias("h"), F.expr("n.node = h.node AND (h.s1 IS NULL OR n.s1 = h.s1)"), "left")
+    named = merged(nodes.select("node", "s1"), labels, "node", "left").alias("n")
+    named = named.join(hubs.hint("merge").alias("h"), F.expr("n.node = h.node AND (h.s1 IS NULL OR n.s1 = h.s1)"), "left")
     named = named.selectExpr("n.node", "n.s1", "coalesce(component, n.node) AS component", "named_struct('k', hub IS NOT NULL, 'v', coalesce(hub, n.node)) AS hub")
-    own = own.join(named, ["node", "s1"])
-    each = own.select("node", "n", "matches", "small", "component", "hub", F.struct("seen", "last").alias("last"), F.size("tokens").alias("p"), F.posexplode("tokens").alias("at", "token"))
-    each = each.select("token", "node", "component", "hub", "n", "matches", "last", "p", (F.col("at") < F.col("small")).alias("small"))
-    by = "(PARTITION BY token)"
-    ends = [F.expr(f"{f}({c}) OVER {by}").alias(f"{f}_{c}") for c in ("component", "hub") for f in ("min", "max")]
-    shared = each.select("*", *ends).where("min_component <> max_component AND min_hub <> max_hub").drop("min_component", "max_component", "min_hub", "max_hub")
-    shared = materialize(shared, "jaccard-prefixes")
+    about = own.select("node", "s1", "n", "matches", F.struct("seen", "last").alias("last"), F.size("tokens").alias("p"))
+    named = merged(named, about, ["node", "s1"]).dropDuplicates(["node", "s1"])
+    rows = materialize(merged(_met_tokens(own, counts), named, "s1").drop("s1"), "jaccard-met")
+    # tokens within one component or one hub lead to no pair
+    ends = [F.expr(f"{f}({c})").alias(f"{f}_{c}") for c in ("component", "hub") for f in ("min", "max")]
+    across = rows.groupBy("token").agg(F.count("*").alias("m"), *ends).where("min_component <> max_component AND min_hub <> max_hub").select("token", "m")
+    shared = joined_by_key(rows, materialize(across, "jaccard-across"), "token", rows.count()).drop("m")
+    shared = materialize(shared, "jaccard-shared")
     # what a node's prefix shares with no other is missing from its overlap with nodes whose prefix ends later
-    one = ["node", "n", "p", "last"]
-    most = shared.groupBy(*one).agg(F.count("*").alias("h")).selectExpr(*one, "cast(n - p + h AS INT) AS most")
-    shared = shared.join(most, one)
-    x, y = shared.where("small").alias("x"), shared.alias("y")
-    fits = F.expr("x.token = y.token AND x.component <> y.component AND x.hub <> y.hub AND struct(x.n, x.node) < struct(y.n, y.node) AND 5 * x.n >= 4 * y.n AND 9 * if(x.last <= y.last, x.most, y.most) >= 4 * (x.n + y.n)")
-    met = x.join(y, fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.least("x.matches", "y.matches").alias("k"))
+    most = shared.groupBy("node", "n", "p").agg(F.count("*").alias("h")).selectExpr("node", "cast(n - p + h AS INT) AS most")
+    shared = merged(shared, most, "node").drop("p")
+    # components that meet in a token first, so that a large one is never compared with itself
+    held = shared.groupBy("token", "component").agg(F.max("small").alias("small"))
+    x, y = held.where("small").alias("x"), held.alias("y")
+    meet = x.join(y.hint("merge"), F.expr("x.token = y.token AND x.component <> y.component")).selectExpr("x.token", "x.component AS component", "y.component AS other")
+    x = merged(shared.where("small"), meet, ["token", "component"]).alias("x")
+    fits = """x.token = y.token AND x.other = y.component AND x.hub <> y.hub AND struct(x.n, x.node) < struct(y.n, y.node)
+        AND 5 * x.n >= 4 * y.n AND 9 * if(x.last <= y.last, x.most, y.most) >= 4 * (x.n + y.n)"""
+    met = x.join(shared.hint("merge").alias("y"), F.expr(fits)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.least("x.matches", "y.matches").alias("k"))
     return met.groupBy("a", "b").agg(F.count("*").alias("m"), F.min("k").alias("k")).where("m >= k").select("a", "b")
 
 
@@ -291,17 +357,17 @@ def classes(docs: DataFrame) -> DataFrame:
     compared = compare(docs, materialize(central_pairs(nodes), "jaccard-central"))
     near, groups = compared.where("linked").select("a", "b").distinct(), around_hubs(compared)
     # the rows of one doc_id are one document, whatever its sets
-    same = rows.where("n > 0").join(nodes, ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
+    same = merged(rows.where("n > 0").select("doc_id", "s1", "s2"), nodes.select("node", "s1", "s2"), ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
     labels = materialize(components(near.union(same)), "jaccard-components")
     found = verify(docs, materialize(candidates(docs, nodes, labels, groups, sketch), "jaccard-pairs"))
     found = found.union(difference_links(groups, labels))
     a, b = labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    between = found.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
-    merged = components(between).select(F.col("node").alias("component"), F.col("component").alias("merged"))
-    final = labels.join(merged, "component", "left").select("node", F.coalesce("merged", "component").alias("c"))
-    alone = merged.join(labels.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("merged").alias("c"))
+    between = merged(merged(found, a, "a", "left"), b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
+    joint = components(between).select(F.col("node").alias("component"), F.col("component").alias("merged"))
+    final = merged(labels, joint, "component", "left").select("node", F.coalesce("merged", "component").alias("c"))
+    alone = merged(joint, labels.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("merged").alias("c"))
     final = final.union(alone).withColumnRenamed("node", "doc_id")
-    return rows.select("doc_id", "n").join(final, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("c", "doc_id")).alias("component_id"))
+    return merged(rows.select("doc_id", "n"), final, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("c", "doc_id")).alias("component_id"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:

@@ -310,7 +310,9 @@ def shingles(t):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def test_jaccard_equals_brute_force(docs, texts, empty):
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_jaccard_equals_brute_force(docs, texts, empty, hot, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", hot)
     sets = dict((i, shingles(t)) for i, t in texts)
     root = {i: i for i in sets}
     for a in sorted(sets):
