@@ -17,6 +17,9 @@ CHUNK_BYTES = 1 << 20
 #: Rows (and so the largest texts) that one Arrow batch may hold.
 BATCH_ROWS = 256
 
+#: A key with more than one part in HOT of all rows is joined by broadcast.
+HOT = 4096
+
 _LOCAL: list[str] = []
 
 
@@ -47,6 +50,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of two tables that both grow with the input: never a broadcast."""
+    return left.join(right.hint("merge"), on, how)
+
+
+def joined_by_key(rows: DataFrame, keys: DataFrame, key: str | list[str], total: int, parts: int | None = None) -> DataFrame:
+    """rows with the columns of keys (one row a key; m: how many of the total rows hold it).
+
+    A key is hot if it holds more than one part in HOT of all rows, so there are HOT such keys at most. Their
+    rows stay where they are and meet a broadcast; only the rest is shuffled.
+    """
+    names = [key] if isinstance(key, str) else key
+    limit = max(1, total // (parts or HOT))
+    hot = keys.where(F.col("m") > limit)
+    marked = rows.join(F.broadcast(hot.select(*names, F.lit(True).alias("__hot"))), names, "left")
+    cold = merged(marked.where("__hot IS NULL").drop("__hot"), keys.where(F.col("m") <= limit), names)
+    return cold.unionByName(rows.join(F.broadcast(hot), names))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once, though body's own lambdas use it many times."""
     return F.transform(F.array(value), body)[0]

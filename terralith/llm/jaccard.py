@@ -29,15 +29,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terralith.llm.common import chunks, materialize, mix, shingle_hashes, small_batches, table, utf8_column, word_hashes
+from terralith.llm.common import HOT, chunks, joined_by_key, materialize, merged, mix, shingle_hashes, small_batches, table, utf8_column, word_hashes
 from terralith.llm.graph import components
 
 SIZE, PERCENT = 5, 80
 #: Counters of the sketch, and hash functions for the first comparison with central nodes.
 SKETCH, PERMUTATIONS = 1 << 16, 8
 AGREEING = 3
-#: A key that holds more than one part in HOT of all rows is joined by broadcast: there are HOT such keys at most.
-HOT = 4096
 #: Cost of verifying a candidate, in prefix entries shuffled; other nodes that any shingle is taken to
 #: meet beyond what the sketch can tell; the longest lengthening, as a part of the set.
 VERIFY_COST, UNSEEN, MOST = 64, 0.05, 8
@@ -115,23 +113,6 @@ def profile(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.where("bucket IS NULL").drop("bucket", "count"), both.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("count"))
 
 
-def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
-    """A join of two tables that both grow with the input: never a broadcast."""
-    return left.join(right.hint("merge"), on, how)
-
-
-def joined_by_key(rows: DataFrame, keys: DataFrame, key: str, total: int) -> DataFrame:
-    """rows with the columns of keys (one row a key; m: how many of the total rows hold it).
-
-    Rows of hot keys stay where they are and meet a broadcast of at most HOT keys; only the rest is shuffled.
-    """
-    limit = max(1, total // HOT)
-    hot = keys.where(F.col("m") > limit)
-    marked = rows.join(F.broadcast(hot.select(key, F.lit(True).alias("__hot"))), key, "left")
-    cold = merged(marked.where("__hot IS NULL").drop("__hot"), keys.where(F.col("m") <= limit), key)
-    return cold.unionByName(rows.join(F.broadcast(hot), key))
-
-
 def central_pairs(nodes: DataFrame) -> DataFrame:
     """(a, b): each node with the most central node of its MinHash buckets.
 
@@ -326,7 +307,7 @@ def candidates(docs: DataFrame, nodes: DataFrame, labels: DataFrame, groups: Dat
     hubs = groups.select("node", "s1", "hub").union(groups.selectExpr("hub AS node", "CAST(NULL AS BIGINT) AS s1", "hub").distinct())
     named = merged(nodes.select("node", "s1"), labels, "node", "left").alias("n")
     named = named.join(hubs.hint("merge").alias("h"), F.expr("n.node = h.node AND (h.s1 IS NULL OR n.s1 = h.s1)"), "left")
-    named = named.selectExpr("n.node", "n.s1", "coalesce(component, n.node) AS component", "named_struct('k', hub IS NOT NULL, 'v', coalesce(hub, n.node)) AS hub")
+    named = named.selectExpr("n.node", "n.s1", "coalesce(component, n.node) AS component", "coalesce(hub, n.node) AS hub")
     about = own.select("node", "s1", "n", "matches", F.struct("seen", "last").alias("last"), F.size("tokens").alias("p"))
     named = merged(named, about, ["node", "s1"]).dropDuplicates(["node", "s1"])
     rows = materialize(merged(_met_tokens(own, counts), named, "s1").drop("s1"), "jaccard-met")
@@ -338,14 +319,10 @@ def candidates(docs: DataFrame, nodes: DataFrame, labels: DataFrame, groups: Dat
     # what a node's prefix shares with no other is missing from its overlap with nodes whose prefix ends later
     most = shared.groupBy("node", "n", "p").agg(F.count("*").alias("h")).selectExpr("node", "cast(n - p + h AS INT) AS most")
     shared = merged(shared, most, "node").drop("p")
-    # components that meet in a token first, so that a large one is never compared with itself
-    held = shared.groupBy("token", "component").agg(F.max("small").alias("small"))
-    x, y = held.where("small").alias("x"), held.alias("y")
-    meet = x.join(y.hint("merge"), F.expr("x.token = y.token AND x.component <> y.component")).selectExpr("x.token", "x.component AS component", "y.component AS other")
-    x = merged(shared.where("small"), meet, ["token", "component"]).alias("x")
-    fits = """x.token = y.token AND x.other = y.component AND x.hub <> y.hub AND struct(x.n, x.node) < struct(y.n, y.node)
+    x, y = shared.where("small").alias("x"), shared.hint("merge").alias("y")
+    fits = """x.token = y.token AND x.component <> y.component AND x.hub <> y.hub AND struct(x.n, x.node) < struct(y.n, y.node)
         AND 5 * x.n >= 4 * y.n AND 9 * if(x.last <= y.last, x.most, y.most) >= 4 * (x.n + y.n)"""
-    met = x.join(shared.hint("merge").alias("y"), F.expr(fits)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.least("x.matches", "y.matches").alias("k"))
+    met = x.join(y, F.expr(fits)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.least("x.matches", "y.matches").alias("k"))
     return met.groupBy("a", "b").agg(F.count("*").alias("m"), F.min("k").alias("k")).where("m >= k").select("a", "b")
 
 
