@@ -14,7 +14,7 @@
 
 Defined results: a null text is empty (0 bytes, nothing removed); equal rows are two documents; texts
 under 200 bytes keep everything; an empty table gives an empty result. A row is named by a 64-bit hash of
-doc_id and text.
+doc_id and text, equal contexts by the 128 bits of gram and context hash over mixed eight-byte blocks.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralith.llm.common import chunks, materialize, mix, small_batches, table, utf8_column
+from terralith.llm.common import chunks, joined_by_key, materialize, mix, small_batches, table, utf8_column
 
 LENGTH, GRAM = 200, 40
 SPAN = LENGTH - GRAM + 1
@@ -61,6 +61,25 @@ class Hashes:
         return (self.upto[end] - self.upto[start]) * self.inv[start]
 
 
+class BlockHashes(Hashes):
+    """Hashes of substrings of eight bytes or more, over mixed eight-byte blocks: equal hashes can't be made
+    by texts that exploit the polynomial (as sums of powers of two terms allow)."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        padded = np.zeros(n + 8, np.uint8)
+        padded[:n] = data
+        words = np.zeros(n, np.uint64)
+        for k in range(8):
+            words |= padded[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+        self.pow, self.inv = _powers(n + 1)
+        self.upto = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix(words) * self.pow[:n], out=self.upto[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return super().of(start, end - 7)
+
+
 def _least(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every width consecutive values, from prefix and suffix minima of blocks."""
     n = len(values)
@@ -79,7 +98,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if n < LENGTH:
         return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    hashes = Hashes(data)
+    hashes = BlockHashes(data)
     at = np.arange(n - GRAM + 1)
     grams = mix(hashes.of(at, at + GRAM))
     place = at.astype(np.uint64) & _MASK
@@ -323,13 +342,14 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = materialize(texts.mapInArrow(_rows, "gram bigint, context bigint, key bigint, pos int, least smallint, most smallint"), "repeat-anchors")
     often = rows.groupBy("gram").agg(F.count("*").alias("m"), F.min("context").alias("c0"), F.max("context").alias("c1")).where("m > 1")
-    often = often.select("gram", F.expr("c0 <> c1").alias("mixed"))
-    marks = materialize(rows.join(often, "gram").select("gram", "context", "key", "pos", "least", "most", "mixed"), "repeat-marks")
+    often = materialize(often.select("gram", "m", F.expr("c0 <> c1").alias("mixed")), "repeat-often")
+    total = rows.count()
+    marks = materialize(joined_by_key(rows, often, "gram", total).select("gram", "context", "key", "pos", "least", "most", "mixed"), "repeat-marks")
     # of equal contexts one is compared with the others; where there are two, all their windows are repeated
     one = marks.where("mixed").groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos", "least", "most")).alias("s"))
     one = materialize(one, "repeat-kinds")
-    alike = marks.where("mixed").join(one.where("n > 1").select("gram", "context"), ["gram", "context"], "left_semi")
-    whole = marks.where("NOT mixed").union(alike).select("key", F.expr("cast(pos - most AS INT)").alias("start"), F.expr(f"cast(pos - least + {LENGTH} AS INT)").alias("end"))
+    alike = joined_by_key(marks.where("mixed"), one.where("n > 1").select("gram", "context", F.col("n").alias("m")), ["gram", "context"], total)
+    whole = marks.where("NOT mixed").unionByName(alike.drop("m")).select("key", F.expr("cast(pos - most AS INT)").alias("start"), F.expr(f"cast(pos - least + {LENGTH} AS INT)").alias("end"))
     hot = one.groupBy("gram").agg(F.count("*").alias("kinds")).where(f"kinds > {HOT}").select("gram", F.lit(True).alias("hot"))
     spots = one.join(hot, "gram", "left").select("s.*", "gram", F.coalesce("hot", F.lit(False)).alias("hot"))
     wanted = materialize(spots.groupBy("key").agg(F.collect_list(F.struct("gram", "hot", "pos", "least", "most")).alias("spots")), "repeat-spots")
