@@ -9,7 +9,7 @@ bound what is missing. What survives is scored exactly.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part, nor do rows
 without an id; shorter vectors count as padded with zeros; rows with the query's own id are not its
-candidates; equal scores go by the smaller id; an empty table gives an empty result. Repeated rows count as
+candidates; equal scores go by the smaller id; scores are longs, exact as long as they fit one; an empty table gives an empty result. Repeated rows count as
 often as they are stored, as in the SQL: each copy of a candidate takes a rank of its own, and a query stored
 m times pairs m times with every candidate, all under its one query_id.
 """
@@ -27,6 +27,10 @@ SCALE, K, STEP = 256, 5, 50
 BLOCK, QUERIES = 4096, 1024
 #: Rotated coordinates summed before the bound is applied.
 HEAD = 16
+#: No score yet: less than any, and its negative fits a long.
+NONE = np.int64(-(2**63) + 1)
+#: Classes of block lengths to a factor of two.
+CLASSES = 8
 
 
 def integers(vectors: DataFrame) -> DataFrame:
@@ -45,12 +49,12 @@ def copies(rows: DataFrame, k: int) -> DataFrame:
 
 
 def _matrix(column, d: int) -> np.ndarray:
-    """Rows as float64 (whole numbers), padded to d columns."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    """Rows as whole numbers, padded to d columns."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     sizes = np.diff(column.offsets.to_numpy())
     if len(sizes) and (sizes == d).all():
         return flat.reshape(-1, d)
-    out = np.zeros((len(sizes), d))
+    out = np.zeros((len(sizes), d), np.int64)
     out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
     return out
 
@@ -61,7 +65,7 @@ def _gram(d: int):
 
         total = np.zeros((d, d))
         for batch in batches:
-            m = _matrix(batch.column("v"), d)
+            m = _matrix(batch.column("v"), d).astype(np.float64)
             total += m.T @ m
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(d), d).astype(np.int32)), pa.array(np.tile(np.arange(d), d).astype(np.int32)), pa.array(total.reshape(-1))], ["i", "j", "g"])
 
@@ -70,18 +74,20 @@ def _gram(d: int):
 
 def best_of_block(q_ids, q, floor_, c_ids, c, k: int, rotation: np.ndarray) -> list[tuple[int, int, int]]:
     """(query, id, score): up to k candidates of the block a query, leaving out what can't reach floor_."""
+    whole_q, whole_c, q, c = q, c, q.astype(np.float64), c.astype(np.float64)
     order = np.lexsort((c_ids, -(c * c).sum(axis=1)))
-    c_ids, c = c_ids[order], c[order]
+    c_ids, c, whole_c = c_ids[order], c[order], whole_c[order]
     head = min(HEAD, q.shape[1])
     rq, rc = q @ rotation, c @ rotation
     rest_q, rest_c = np.sqrt((rq[:, head:] ** 2).sum(axis=1)), np.sqrt((rc[:, head:] ** 2).sum(axis=1))
     size_q, size_c = np.sqrt((q * q).sum(axis=1)), np.sqrt((c * c).sum(axis=1))
     exact = float(size_q.max(initial=0)) * float(size_c.max(initial=0)) < 2.0**52
-    best_s = np.full((len(q), k), -np.inf)
+    best_s = np.full((len(q), k), NONE)
     best_i = np.full((len(q), k), np.iinfo(np.int64).max)
     for at in range(0, len(c), 256):
         part = slice(at, at + 256)
-        need = np.maximum(floor_, best_s[:, -1])
+        last = best_s[:, -1]
+        need = np.maximum(floor_, np.where(last == NONE, -np.inf, last.astype(np.float64)))
         slack = 1e-9 * size_q * size_c[at] + 1e-6
         live = np.flatnonzero(size_q * size_c[at] + slack >= need)
         if not len(live):
@@ -94,20 +100,20 @@ def best_of_block(q_ids, q, floor_, c_ids, c, k: int, rotation: np.ndarray) -> l
             continue
         ids = c_ids[part][cols]
         if exact:
-            score = q[live] @ c[part][cols].T
-        else:  # products beyond 2^52: whole numbers of any size
-            score = (q[live].astype(object) @ c[part][cols].T.astype(object)).astype(np.float64)
-        score = np.where(maybe[:, cols] & (q_ids[live][:, None] != ids[None, :]), score, -np.inf)
+            score = (q[live] @ c[part][cols].T).astype(np.int64)
+        else:  # products beyond 2^52, which floating point would round
+            score = whole_q[live] @ whole_c[part][cols].T
+        score = np.where(maybe[:, cols] & (q_ids[live][:, None] != ids[None, :]), score, NONE)
         all_s = np.hstack([best_s[live], score])
         all_i = np.hstack([best_i[live], np.broadcast_to(ids, score.shape)])
         rank = np.lexsort((all_i, -all_s), axis=1)[:, :k]
         best_s[live], best_i[live] = np.take_along_axis(all_s, rank, 1), np.take_along_axis(all_i, rank, 1)
-    rows, cols = np.nonzero(np.isfinite(best_s))
+    rows, cols = np.nonzero(best_s != NONE)
     return [(int(q_ids[r]), int(best_i[r, c_]), int(best_s[r, c_])) for r, c_ in zip(rows, cols, strict=True)]
 
 
 def _search(queries: DataFrame, blocks: DataFrame, d: int, rotation: np.ndarray, k: int) -> DataFrame:
-    """Best of each group (block, part of the queries)."""
+    """Best of each group (block, part of the queries); blocks comes once for each part that asks for it."""
 
     def run(key, qs, cs):
         import pyarrow as pa
@@ -119,12 +125,28 @@ def _search(queries: DataFrame, blocks: DataFrame, d: int, rotation: np.ndarray,
             found = best_of_block(qs.column("vec_id").to_numpy(), q, qs.column("floor").to_numpy(), cs.column("c_id").to_numpy(), c, k, rotation)
         return pa.table({"query_id": pa.array([f[0] for f in found], pa.int64()), "vec_id": pa.array([f[1] for f in found], pa.int64()), "score": pa.array([f[2] for f in found], pa.int64())})
 
-    pairs = queries.select(F.col("block").alias("in_block"), F.col("part").alias("in_part")).distinct()
-    rows = blocks.select(F.col("block").alias("c_block"), F.col("vec_id").alias("c_id"), F.col("v").alias("c_v"))
-    rows = rows.join(pairs, F.col("c_block") == F.col("in_block")).select("in_block", "in_part", "c_id", "c_v")
+    rows = blocks.select(F.col("block").alias("in_block"), F.col("part").alias("in_part"), F.col("vec_id").alias("c_id"), F.col("v").alias("c_v"))
     return queries.groupBy("block", "part").cogroup(rows.groupBy("in_block", "in_part")).applyInArrow(run, "query_id long, vec_id long, score long")
 
 
+def _reachable(floors: DataFrame, longest: DataFrame) -> DataFrame:
+    """(block, part, vec_id, floor): the blocks whose longest vector can still reach a query's floor.
+
+    Blocks and queries meet by classes of length, from the least that can reach the floor to the longest, and
+    no vector is carried along.
+    """
+    level = lambda x: F.floor(CLASSES * F.log2(F.greatest(x, F.lit(1e-300)))).cast("int")
+    classed = longest.withColumn("class", level(F.sqrt("m")))
+    low, high = classed.agg(F.min("class"), F.max("class")).first()
+    need = F.when(F.col("floor") > 1, level((F.col("floor") - 1) / (F.greatest(F.sqrt("norm2"), F.lit(1e-300)) * (1 + 1e-9))) - 1)
+    start = F.greatest(F.lit(low), F.coalesce(need, F.lit(low)))
+    asked = floors.select("part", "vec_id", "norm2", "floor", start.alias("start")).where(F.col("start") <= F.lit(high))
+    asked = asked.withColumn("class", F.explode(F.sequence("start", F.lit(high)))).join(classed, "class")
+    asked = asked.withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    asked = asked.where(F.sqrt(F.col("norm2")) * F.sqrt("m") * (1 + 1e-9) + 1 >= F.col("floor"))
+    return asked.select("block", "part", "vec_id", "floor").distinct()
+
+
 def _first(found: DataFrame, k: int) -> DataFrame:
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
     return found.groupBy("query_id").agg(best.alias("b"))
@@ -143,20 +165,24 @@ def search(vectors: DataFrame, is_query, k: int = K, block: int = BLOCK) -> Data
         gram[r["i"], r["j"]] = r["g"]
     rotation = np.linalg.eigh(gram)[1][:, ::-1].copy()
     longest = placed.groupBy("block").agg(F.max("norm2").alias("m"))
-    own = placed.where(is_query).select("vec_id", "v", "norm2", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // STEP // QUERIES))).cast("int").alias("part"))
+    parts_of_queries = max(1, n // STEP // QUERIES)
+    own = placed.where(is_query).select("vec_id", "v", "norm2", F.pmod(F.xxhash64("vec_id"), F.lit(parts_of_queries)).cast("int").alias("part"))
     blocks = placed.select("block", "vec_id", "v")
     top = longest.orderBy(F.col("m").desc(), "block").first()
     top = top["block"] if top else 0
-    seed = _search(own.select(F.lit(top).alias("block"), "part", "vec_id", "v", F.lit(float("-inf")).alias("floor")), blocks.where(F.col("block") == top), d, rotation, k)
+    each_part = F.explode(F.sequence(F.lit(0), F.lit(parts_of_queries - 1))).alias("part")
+    first_queries = own.select(F.lit(top).alias("block"), "part", "vec_id", "v", F.lit(float("-inf")).alias("floor"))
+    seed = _search(first_queries, blocks.where(F.col("block") == top).select("*", each_part), d, rotation, k)
     seed = materialize(seed, "topk-seed")
-    kth = seed.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("floor"))
-    # lengths by block: one number for each block of BLOCK rows
-    bounds = F.array(*[F.struct(F.lit(r["block"]).alias("block"), F.lit(r["m"]).alias("m")) for r in longest.where(F.col("block") != top).collect()]) if parts > 1 else None
     found = seed
-    if bounds is not None:
-        asked = own.join(kth, own["vec_id"] == kth["query_id"], "left").select("part", "vec_id", "v", "norm2", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
-        asked = asked.select("part", "vec_id", "v", "norm2", "floor", F.explode(bounds).alias("b")).where(F.sqrt(F.col("norm2")) * F.sqrt("b.m") * (1 + 1e-9) + 1 >= F.col("floor"))
-        found = seed.union(_search(asked.select(F.col("b.block").alias("block"), "part", "vec_id", "v", "floor"), blocks, d, rotation, k))
+    if parts > 1:
+        kth = seed.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("floor"))
+        floors = own.select("part", "vec_id", "norm2").join(kth, own["vec_id"] == kth["query_id"], "left").drop("query_id")
+        asked = _reachable(floors, longest.where(F.col("block") != top))
+        asked = materialize(asked, "topk-asked")
+        queries = asked.join(own.select("vec_id", "part", "v"), ["vec_id", "part"]).select("block", "part", "vec_id", "v", "floor")
+        rows = blocks.join(asked.select("block", "part").distinct(), "block")
+        found = seed.union(_search(queries, rows, d, rotation, k))
     best = _first(found, k)
     return best.select("query_id", F.posexplode("b").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
 
