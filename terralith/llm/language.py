@@ -14,7 +14,6 @@ given, all do; repeated rows get equal results; an empty table gives an empty re
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -30,8 +29,6 @@ LANDMARKS = 60
 DRAWS = 10**15
 RIDGE = 1e-3
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
-
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
@@ -103,7 +100,7 @@ class Model:
         if len(self.flags) != len(self.weights):
             self.flags = np.zeros(len(self.weights), bool)
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        which = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        which = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
         for at in range(0, len(which), 64):
             part = which[at : at + 64]
             found = [self.grams.present(texts[i], self.flags) for i in part]

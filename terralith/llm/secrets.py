@@ -22,6 +22,8 @@ RULE_VERSION = "secrets-1"
 #: Kinds in the order in which spans with the same start are listed.
 BASE_KINDS = ("assign", "access", "hex")
 MORE_KINDS = ("jwt", "pem", "ghtoken")
+#: Up to this many unseen blobs (100 bytes each) are broadcast to the texts; more are met by a shuffle.
+FEW = 100_000
 LEDGER = "blob string, rule_version string, spans array<struct<kind:string,start:int,end:int>>"
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -76,7 +78,10 @@ def update_ledger(versions: DataFrame, paths: DataFrame, ledger: DataFrame | Non
     unseen = paths.groupBy("blob").agg(F.min("key").alias("key"))
     if ledger is not None:
         unseen = unseen.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    todo = address(versions).join(unseen.hint("shuffle_hash"), ["key", "blob"]).select("blob", "text")
+        unseen = materialize(unseen, "secret-unseen")
+    # after the first run few blobs are unseen: then no text is shuffled, and a known blob's text goes nowhere
+    few = ledger is not None and unseen.count() <= FEW
+    todo = address(versions).join(unseen.hint("broadcast" if few else "shuffle_hash"), ["key", "blob"]).select("blob", "text")
     found = todo.mapInArrow(_scan, "blob string, spans array<struct<kind:string,start:int,end:int>>")
     found = found.groupBy("blob").agg(F.first("spans").alias("spans")).select("blob", F.lit(rule_version).alias("rule_version"), "spans")
     found = materialize(found, "secret-ledger")
@@ -97,6 +102,19 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rule_version: str = R
     return rows.select("doc_id", "blob", F.coalesce("spans", none).alias("spans")), ledger
 
 
+def scan_with(path: str, docs: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
+    """scan() with a ledger stored as Parquet under path: known pairs are read from it, new ones appended."""
+    spark = docs.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    ledger = spark.read.schema(LEDGER).parquet(path) if held else None
+    rows, now = scan(docs, ledger, rule_version)
+    known = ledger.where(F.col("rule_version") == rule_version).select("blob", "rule_version") if held else None
+    new = now if known is None else now.join(known, ["blob", "rule_version"], "left_anti").where(F.col("rule_version") == rule_version)
+    materialize(new, "secret-new").write.mode("append").parquet(path)
+    return rows
+
+
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every secret replaced by its kind in brackets; rows and other columns stay."""
     spark = docs.sparkSession
