@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from terralith.plans import analysis, spatial, streams
+from terralith.plans import analysis, shapes, spatial, streams
+
+_MORE = (shapes.queries,)
 
 
 def queries() -> dict:
-    return spatial.QUERIES | analysis.QUERIES | streams.QUERIES
+    out = spatial.QUERIES | analysis.QUERIES | streams.QUERIES
+    for r in _MORE:
+        out |= r.queries
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return spatial.ORACLES | analysis.ORACLES | streams.ORACLES
+    out = spatial.ORACLES | analysis.ORACLES | streams.ORACLES
+    for r in _MORE:
+        out |= r.sql
+    return out
 
 
 def entry(spark, sf_dir: str):

@@ -58,3 +58,35 @@ def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, k: int
         if todo.isEmpty():
             return done
         radius *= 4
+
+
+def pairs(left: DataFrame, right: DataFrame, size: float = 1000.0, margin: float = 0.0) -> DataFrame:
+    """left and right (columns prefixed r_) whose bounds, margin apart at most, share a point; each pair once.
+
+    Shapes meet in the grid cells that both bounds cover; the cell of the greater lower corners counts.
+    """
+    low, high = [f"{c}min" for c in "xy"], [f"{c}max" for c in "xy"]
+    wide = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
+    for c in "xy":
+        wide = wide.withColumn(f"w_{c}min", F.col(f"r_{c}min") - margin).withColumn(f"w_{c}max", F.col(f"r_{c}max") + margin)
+        span = F.sequence(cell(F.col(f"w_{c}min"), size), cell(F.col(f"w_{c}max"), size))
+        wide = wide.withColumn(f"c{c}", F.explode(span))
+    met = cover(left, size).join(wide, ["cx", "cy"])
+    for c, lo, hi in zip("xy", low, high, strict=True):
+        met = met.where((F.col(lo) <= F.col(f"w_{hi}")) & (F.col(hi) >= F.col(f"w_{lo}")))
+        met = met.where(F.col(f"c{c}") == cell(F.greatest(F.col(lo), F.col(f"w_{lo}")), size))
+    return met.drop("cx", "cy", *[f"w_{c}" for c in low + high])
+
+
+def with_matches(left: DataFrame, found: DataFrame, key: str, how: str) -> DataFrame:
+    """left with its rows of found (which hold key): inner, left (unmatched rows stay), semi or anti."""
+    if how in ("semi", "anti"):
+        return left.join(found.select(key).distinct(), key, f"left_{how}")
+    return left.join(found, key, how)
+
+
+def contract(left: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """One row on the cardinality of a join: rows in, rows out, unmatched, matched once, matched more often."""
+    n = left.select(key).join(found.groupBy(key).agg(F.count("*").alias("n")), key, "left").select(F.coalesce("n", F.lit(0)).alias("n"))
+    one = [F.count_if(F.col("n") == 0).alias("unmatched"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") > 1).alias("several")]
+    return n.agg(F.count("*").alias("rows_in"), F.sum("n").alias("rows_out"), *one, F.max("n").alias("most"))
