@@ -41,21 +41,25 @@ def normalise(col: Column, vocabulary: dict[str, str] | None = None) -> Column:
 
 
 def audit(df: DataFrame) -> DataFrame:
-    """column, n_rows, n_missing, n_unique of every column: one aggregation, then unpivoted."""
-    cols = df.columns
-    sums = [F.count("*").alias("n_rows")]
-    for k, c in enumerate(cols):
-        sums += [F.sum(F.col(c).isNull().cast("long")).alias(f"m{k}"), F.countDistinct(c).alias(f"u{k}")]
-    one = df.agg(*sums)
-    rows = [F.struct(F.lit(c).alias("column"), F.col("n_rows"), F.coalesce(f"m{k}", F.lit(0)).alias("n_missing"), F.col(f"u{k}").alias("n_unique")) for k, c in enumerate(cols)]
-    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    """column, n_rows, n_missing, n_unique of every column. Each column is counted by its values first, so no
+    row is written once a column into one wide aggregate."""
+    whole = df.agg(F.count("*").alias("n_rows"))
+
+    def one(c: str) -> DataFrame:
+        values = df.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("m"))
+        missing = F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("m"))), F.lit(0))
+        return values.agg(missing.alias("n_missing"), F.count("v").alias("n_unique")).select(F.lit(c).alias("column"), "n_missing", "n_unique")
+
+    return union_all([one(c) for c in df.columns]).join(F.broadcast(whole)).select("column", "n_rows", "n_missing", "n_unique")
 
 
 def fill_median(df: DataFrame, col: str, by: list[str]) -> DataFrame:
-    """Missing values become the group's median; a flag says which."""
-    w = Window.partitionBy(*by)
-    median = F.percentile(col, 0.5).over(w) if hasattr(F, "percentile") else F.expr(f"percentile({col}, 0.5)").over(w)
-    return df.select("*", F.col(col).isNull().alias(f"{col}_imputed"), F.coalesce(F.col(col), median).alias(f"{col}_filled"))
+    """Missing values become the group's median; a flag says which. Medians come from an aggregate over
+    counted values and are joined back: no window holds a group."""
+    counted = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("m"))
+    medians = counted.groupBy(*by).agg(F.expr(f"percentile({col}, 0.5, m)").alias("__median"))
+    flagged = df.join(medians, by, "left").withColumn(f"{col}_imputed", F.col(col).isNull())
+    return flagged.withColumn(f"{col}_filled", F.coalesce(F.col(col), F.col("__median"))).drop("__median")
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

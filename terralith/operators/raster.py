@@ -55,3 +55,75 @@ def patches(cells: DataFrame, columns: int) -> DataFrame:
     ahead = c.select(F.col("node").alias("a"), "row", "col", F.explode(step).alias("s")).select("a", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"))
     linked = graph.components(ahead.join(c.select("row", "col", F.col("node").alias("b")), ["row", "col"]).select("a", "b"))
     return c.join(linked, "node", "left").withColumn("patch", F.coalesce("component", "node")).drop("component", "node")
+
+
+def differences(cells: DataFrame) -> DataFrame:
+    """row, col, value with those of the four cells beside it, for cells that have all four; one shuffle."""
+    step = {"west": (0, -1), "east": (0, 1), "south": (1, 0), "north": (-1, 0)}
+    at = lambda dr, dc: F.max(F.when((F.col("dr") == dr) & (F.col("dc") == dc), F.col("value")))
+    around = neighbours(cells).groupBy("row", "col").agg(at(0, 0).alias("value"), *[at(*s).alias(n) for n, s in step.items()])
+    return around.dropna()
+
+
+def slope_aspect(gx: Column, gy: Column) -> tuple[Column, Column]:
+    """Slope, and the direction it falls to, clockwise from north; both in radians."""
+    return F.atan(F.sqrt(gx * gx + gy * gy)), F.atan2(-gx, -gy)
+
+
+def hillshade(slope_: Column, aspect: Column, azimuth: float, altitude: float) -> Column:
+    """0..255: light from an azimuth (clockwise from north) at an altitude, both in degrees."""
+    sun, high = F.radians(F.lit(azimuth)), F.radians(F.lit(altitude))
+    return 255 * F.greatest(F.lit(0.0), F.sin(high) * F.cos(slope_) + F.cos(high) * F.sin(slope_) * F.cos(sun - aspect))
+
+
+def normalised_difference(a: Column, b: Column) -> Column:
+    return (a - b) / F.when(a + b != 0, a + b)
+
+
+def align_average(cells: DataFrame, size: int, target: int) -> DataFrame:
+    """row, col, value, weight on a grid of another cell size with the same corner, weighted by shared area."""
+    out = cells
+    for c in ("row", "col"):
+        span = F.sequence(F.floor(F.col(c) * size / target).cast("int"), F.ceil((F.col(c) + 1) * size / target).cast("int") - 1)
+        out = out.withColumn(f"t_{c}", F.explode(span))
+        shared = F.least((F.col(c) + 1) * size, (F.col(f"t_{c}") + 1) * target) - F.greatest(F.col(c) * size, F.col(f"t_{c}") * target)
+        out = out.withColumn(f"w_{c}", shared)
+    w = F.col("w_row") * F.col("w_col")
+    return out.groupBy(F.col("t_row").alias("row"), F.col("t_col").alias("col")).agg((F.sum(w * F.col("value")) / F.sum(w)).alias("value"), F.sum(w).alias("weight"))
+
+
+def align_bilinear(cells: DataFrame, factor: float, rows: int, columns: int) -> DataFrame:
+    """Values at the centres of cells factor times as wide, from the source cells around each."""
+    out = cells
+    for c, n in (("row", rows), ("col", columns)):
+        first = F.ceil((F.col(c) - 0.5) / factor - 0.5).cast("int")
+        last = F.floor((F.col(c) + 1.5) / factor - 0.5).cast("int")
+        out = out.withColumn(f"t_{c}", F.explode(F.sequence(F.greatest(first, F.lit(0)), F.greatest(last, F.lit(0)))))
+        out = out.where(F.col(f"t_{c}") < n)
+        out = out.withColumn(f"w_{c}", 1 - F.abs(F.col(c) - (factor * (F.col(f"t_{c}") + 0.5) - 0.5)))
+    w = F.col("w_row") * F.col("w_col")
+    near = out.where("w_row > 0 AND w_col > 0").groupBy(F.col("t_row").alias("row"), F.col("t_col").alias("col"))
+    return near.agg((F.sum(w * F.col("value")) / F.sum(w)).alias("value"))
+
+
+def outline_edges(cells: DataFrame, region: str) -> DataFrame:
+    """The sides of cells (region, r, c, across) that lie between a region and anything else."""
+    side = lambda r, c, across: F.struct((F.col("row") + r).alias("r"), (F.col("col") + c).alias("c"), F.lit(across).alias("across"))
+    sides = F.array(side(0, 0, True), side(1, 0, True), side(0, 0, False), side(0, 1, False))
+    each = cells.select(region, F.explode(sides).alias("s")).groupBy(region, "s").agg(F.count("*").alias("m"))
+    return each.where("m = 1").select(region, "s.*")
+
+
+def window(cells: DataFrame, row: int, col: int, rows: int, columns: int, left: float, top: float, size: float) -> DataFrame:
+    """The cells of a window, numbered from its own corner, with the corner of each cell."""
+    inside = F.col("row").between(row, row + rows - 1) & F.col("col").between(col, col + columns - 1)
+    x, y = F.lit(left) + F.col("col") * size, F.lit(top) - F.col("row") * size
+    return cells.where(inside).select((F.col("row") - row).alias("row"), (F.col("col") - col).alias("col"), "value", x.alias("left_x"), y.alias("top_y"))
+
+
+def cascade(cells: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """step, rule, remaining, lost: cells that pass all rules so far, and those that failed this one first."""
+    passed = lambda k: F.expr(" AND ".join(f"coalesce({t}, FALSE)" for _, t in rules[:k]) or "TRUE")
+    counts = [F.struct(F.count_if(passed(k + 1)).alias("remaining"), F.count_if(passed(k) & ~passed(k + 1)).alias("lost")).alias(f"s{k}") for k in range(len(rules))]
+    rows = [F.struct(F.lit(k).alias("step"), F.lit(name).alias("rule"), F.col(f"s{k}.remaining").alias("remaining"), F.col(f"s{k}.lost").alias("lost")) for k, (name, _) in enumerate(rules)]
+    return cells.agg(*counts).select(F.explode(F.array(*rows)).alias("r")).select("r.*")

@@ -33,12 +33,35 @@ def getis_ord(values: DataFrame, edges: DataFrame) -> DataFrame:
     return sums.join(F.broadcast(whole)).select(F.col("i").alias("zone_id"), g.alias("gi_star"))
 
 
+def value_ranks(df: DataFrame, by: str, value: str, buckets: int = 256) -> DataFrame:
+    """by, value, m (rows), below (rows of the group with a lesser value), n (rows of the group).
+
+    Values are counted first, then cut into ranges: sums over ranges give each range's start, and a window
+    sorts the distinct values of one range of one group only, so no task holds a whole group.
+    """
+    counted = df.groupBy(by, value).agg(F.count("*").alias("m"))
+    ends = counted.groupBy(by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum("m").alias("n"))
+    place = (F.col(value) - F.col("__lo")) / F.when(F.col("__hi") > F.col("__lo"), F.col("__hi") - F.col("__lo"))
+    cut = counted.join(ends, by).withColumn("__b", F.coalesce(F.least(F.lit(buckets - 1), F.floor(place * buckets)), F.lit(0)).cast("int"))
+    before = Window.partitionBy(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy(by, "__b").agg(F.sum("m").alias("__m")).select(by, "__b", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(by, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("__start") + F.coalesce(F.sum("m").over(inside), F.lit(0))
+    return cut.join(starts, [by, "__b"]).select(by, value, "m", below.alias("below"), "n")
+
+
+def ranked(df: DataFrame, by: str, value: str) -> DataFrame:
+    """df with rank (ties share their average) and n of the group; rows without a value have neither."""
+    r = value_ranks(df.where(F.col(value).isNotNull()), by, value)
+    return df.join(r.select(by, value, (F.col("below") + (F.col("m") + 1) / 2).alias("rank"), "n"), [by, value], "left")
+
+
 def gini(df: DataFrame, by: str, value: str) -> DataFrame:
-    """Gini coefficient of each group: ranks by (value, row) inside the group."""
-    w = Window.partitionBy(by).orderBy(value)
-    r = df.select(by, value, F.row_number().over(w).alias("r"))
-    n, s = F.count("*"), F.sum(value)
-    return r.groupBy(by).agg(n.alias("n"), (2 * F.sum(F.col("r") * F.col(value)) / (n * s) - (n + 1) / n).alias("gini"))
+    """Gini coefficient of each group, from counted values: equal ones take the ranks below + 1 .. below + m."""
+    r = value_ranks(df, by, value)
+    ranks = F.col("m") * F.col("below") + F.col("m") * (F.col("m") + 1) / 2
+    s = r.groupBy(by).agg(F.max("n").alias("n"), F.sum(F.col("m") * F.col(value)).alias("s"), F.sum(ranks * F.col(value)).alias("rs"))
+    return s.select(by, "n", (2 * F.col("rs") / (F.col("n") * F.col("s")) - (F.col("n") + 1) / F.col("n")).alias("gini"))
 
 
 def simple_ols(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:

@@ -60,14 +60,14 @@ def overlay_zones(spark, sf_dir):
     return parts.select("zone_id", "box_id", F.round(geometry.area(F.col("part")), 3).alias("area")).where("area > 0")
 
 
-@query(f"""{with_layers('districts')}, d AS (SELECT district_id % 5 AS grp, * FROM districts),
+@query(f"""{with_layers('districts')}, d AS (SELECT district_id % 3 AS grp, * FROM districts),
 e AS (SELECT grp, xmin AS ax, ymin AS ay, xmax AS bx, ymin AS b_y FROM d UNION ALL SELECT grp, xmin, ymax, xmax, ymax FROM d UNION ALL SELECT grp, xmin, ymin, xmin, ymax FROM d UNION ALL SELECT grp, xmax, ymin, xmax, ymax FROM d),
 o AS (SELECT grp, ax, ay, bx, b_y FROM e GROUP BY ALL HAVING count(*) = 1)
 SELECT o.grp, count(*) AS n_edges, round(sum(abs(bx - ax) + abs(b_y - ay)), 3) AS perimeter, any_value(a.area) AS area
 FROM o JOIN (SELECT grp, round(sum((xmax - xmin) * (ymax - ymin)), 3) AS area FROM d GROUP BY grp) a ON a.grp = o.grp GROUP BY o.grp""")
 def dissolve_districts(spark, sf_dir):
-    """Outline of each group of a tessellation: an edge that two members share cancels out."""
-    d = fx.districts(spark, sf_dir).withColumn("grp", F.col("district_id") % 5).withColumn("ring", geometry.box(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")]))
+    """Outline of each group of a tessellation: an edge that two members share cancels out (a column's four districts touch)."""
+    d = fx.districts(spark, sf_dir).withColumn("grp", F.col("district_id") % 3).withColumn("ring", geometry.box(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")]))
     e = d.select("grp", F.explode(geometry.edges(F.col("ring"))).alias("e")).select("grp", *[F.struct(F.col(f"e.{s}x").alias("x"), F.col(f"e.{s}y").alias("y")).alias(p) for s, p in (("a", "p"), ("b", "q"))])
     outer = e.groupBy("grp", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).agg(F.count("*").alias("m")).where("m = 1")
     long = F.sqrt(F.expr("(q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)"))

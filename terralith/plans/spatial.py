@@ -78,7 +78,9 @@ def polygon_measures(spark, sf_dir):
 
 
 _P = "SELECT CAST({k} AS BIGINT) AS pid, CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y FROM {t}"
-_SUP = _P.format(k="s_suppkey", x=fx.x_of("s_suppkey"), y=fx.y_of("s_suppkey"), t="supplier")
+#: Suppliers stand beside customers, not on them: moved east and north.
+_EAST, _NORTH = 337, 211
+_SUP = _P.format(k="s_suppkey", x=f"{fx.x_of('s_suppkey')} + {_EAST}", y=f"{fx.y_of('s_suppkey')} + {_NORTH}", t="supplier")
 _CUS = _P.format(k="c_custkey", x=fx.x_of("c_custkey"), y=fx.y_of("c_custkey"), t="customer")
 
 
@@ -86,7 +88,7 @@ _CUS = _P.format(k="c_custkey", x=fx.x_of("c_custkey"), y=fx.y_of("c_custkey"),
 def within_distance(spark, sf_dir):
     """Customers within 2 km of each supplier, suppliers without any included."""
     p = fx.points(spark, sf_dir)
-    s, c = p.where("kind = 'SUPPLIER'").select("pid", "x", "y"), p.where("kind <> 'SUPPLIER'").select("pid", "x", "y")
+    s, c = p.where("kind = 'SUPPLIER'").selectExpr("pid", f"x + {_EAST} AS x", f"y + {_NORTH} AS y"), p.where("kind <> 'SUPPLIER'").select("pid", "x", "y")
     n = spatial_join.join_near(s, c, 2000.0).groupBy("pid").agg(F.count("*").alias("n"), F.min("d2").alias("d2"))
     return s.select("pid").join(n, "pid", "left").select("pid", F.coalesce("n", F.lit(0)).alias("n_near"), r4(F.sqrt("d2"), "nearest_m"))
 
@@ -97,7 +99,7 @@ SELECT pid, CAST(rank AS INTEGER) AS rank, customer, round(d, 4) AS distance_m F
 def nearest_customers(spark, sf_dir):
     """The three nearest customers of each supplier, by rounds of growing cells."""
     p = fx.points(spark, sf_dir)
-    s, c = p.where("kind = 'SUPPLIER'").select("pid", "x", "y"), p.where("kind <> 'SUPPLIER'").select("pid", "x", "y")
+    s, c = p.where("kind = 'SUPPLIER'").selectExpr("pid", f"x + {_EAST} AS x", f"y + {_NORTH} AS y"), p.where("kind <> 'SUPPLIER'").select("pid", "x", "y")
     return spatial_join.nearest(s, c, "pid", "pid", k=3, radius=2000.0).select("pid", "rank", F.col("r_pid").alias("customer"), r4(F.sqrt("d2"), "distance_m"))
 
 
@@ -288,8 +290,9 @@ def crosstab_segments(spark, sf_dir):
     return j.groupBy("c_mktsegment").agg(*[F.count_if(F.col("n_regionkey") == k).alias(f"r{k}") for k in range(5)])
 
 
-@query("""SELECT c_custkey, round(percent_rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal), 6) AS pct, CAST(ntile(4) OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS INTEGER) AS quartile FROM customer""")
+@query("""WITH r AS (SELECT c_custkey, rank() OVER w + (count(*) OVER (PARTITION BY c_mktsegment, c_acctbal) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY c_mktsegment) AS n
+  FROM customer WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_acctbal)) SELECT c_custkey, round(r / n, 6) AS pct, CAST(ceil(4 * r / n) AS INTEGER) AS quartile FROM r""")
 def rank_customers(spark, sf_dir):
-    w = Window.partitionBy("c_mktsegment").orderBy("c_acctbal")
-    t = Window.partitionBy("c_mktsegment").orderBy("c_acctbal", "c_custkey")
-    return table(spark, sf_dir, "customer").select("c_custkey", F.round(F.percent_rank().over(w), 6).alias("pct"), F.ntile(4).over(t).alias("quartile"))
+    """Average rank over the count, and the quarter it falls into, inside each segment."""
+    c = statistics.ranked(table(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal")
+    return c.select("c_custkey", F.round(F.col("rank") / F.col("n"), 6).alias("pct"), F.ceil(4 * F.col("rank") / F.col("n")).cast("int").alias("quartile"))

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Envelope of the study area in metres (UTM zone 33 N), and its 6 x 4 districts of 8 km by 9 km.
 X0, Y0, WIDTH, HEIGHT = 400_000, 4_600_000, 48_000, 36_000
 DISTRICT_X, DISTRICT_Y, COLUMNS = 8_000, 9_000, 6
+#: Cell of an order by two independent parts of its key, and the cells that hold data.
+CELL_COL, CELL_ROW = "CAST(o_orderkey % 48 AS INT)", "CAST(floor(o_orderkey / 48) % 36 AS INT)"
+NO_DATA = "(row * 7 + col * 3) % 29 <> 0"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,9 +52,12 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 48 x 36 raster of 1 km cells: row, col, value (mean order price in thousands), n."""
-    o = table(spark, sf_dir, "orders").selectExpr("CAST(o_orderkey * 7919 % 48 AS INT) AS col", "CAST(o_orderkey * 104729 % 36 AS INT) AS row", "CAST(round(o_totalprice) AS BIGINT) AS price")
-    return o.groupBy("row", "col").agg((F.sum("price") / F.count("*") / 1000).alias("value"), F.count("*").alias("n"))
+    """A 48 x 36 raster of 1 km cells: row, col, value (mean order price in whole thousands), n.
+
+    Cells without data (every 29th, in a slanted pattern) have no row.
+    """
+    o = table(spark, sf_dir, "orders").selectExpr(f"{CELL_COL} AS col", f"{CELL_ROW} AS row", "CAST(round(o_totalprice) AS BIGINT) AS price").where(NO_DATA)
+    return o.groupBy("row", "col").agg(F.round(F.sum("price") / F.count("*") / 1000).alias("value"), F.count("*").alias("n"))
 
 
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +74,8 @@ _SQL_POINTS = f"""points AS (
   SELECT c_custkey AS pid, c_mktsegment AS kind, CAST({x_of('c_custkey')} AS DOUBLE) AS x, CAST({y_of('c_custkey')} AS DOUBLE) AS y, c_acctbal AS weight FROM customer
   UNION ALL SELECT s_suppkey, 'SUPPLIER', CAST({x_of('s_suppkey')} AS DOUBLE), CAST({y_of('s_suppkey')} AS DOUBLE), s_acctbal FROM supplier)"""
 _SQL_DISTRICTS = f"districts AS (SELECT n_nationkey AS district_id, n_name AS name, {', '.join(bounds('n_nationkey'))} FROM nation WHERE n_nationkey < 24)"
-_SQL_CELLS = """cells AS (SELECT row, col, CAST(sum(price) AS BIGINT) / count(*) / 1000 AS value, count(*) AS n
-  FROM (SELECT CAST(o_orderkey * 7919 % 48 AS INT) AS col, CAST(o_orderkey * 104729 % 36 AS INT) AS row, CAST(round(o_totalprice) AS BIGINT) AS price FROM orders) GROUP BY row, col)"""
+_SQL_CELLS = f"""cells AS (SELECT row, col, round(CAST(sum(price) AS BIGINT) / count(*) / 1000) AS value, count(*) AS n
+  FROM (SELECT {CELL_COL} AS col, {CELL_ROW} AS row, CAST(round(o_totalprice) AS BIGINT) AS price FROM orders) WHERE {NO_DATA} GROUP BY row, col)"""
 _SQL_INCIDENTS = """incidents AS (SELECT event_id, event_type, ts, value,
   CAST(CASE WHEN event_id % 101 = 0 THEN 0 WHEN event_id % 97 = 0 THEN 41.0 + (event_id * 53 % 1000) / 1000.0 WHEN event_id % 89 = 0 THEN 99 ELSE 14.0 + (event_id * 37 % 1000) / 1000.0 END AS DOUBLE) AS lon,
   CAST(CASE WHEN event_id % 101 = 0 THEN 0 WHEN event_id % 97 = 0 THEN 14.0 + (event_id * 37 % 1000) / 1000.0 ELSE 41.0 + (event_id * 53 % 1000) / 1000.0 END AS DOUBLE) AS lat FROM events)"""
