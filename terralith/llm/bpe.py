@@ -1,11 +1,14 @@
-"""Byte-level BPE encoding and decoding; long unsplit text by tree concatenation.
-
-Usual texts are encoded whole, inside their task. A text of more than LONG code points is cut into
-units that many tasks share: first where no token can reach across (between a non-space and a space), and
-a stretch without such a place by the tokenizer's own pre-tokens. A single pre-token longer than PIECE is
-halved down to parts; their encodings are joined pairwise, up a tree: a window around the join is encoded
-anew, and grows until its first and last tokens are the ones that either side had. From there outwards
-both sides stand, as BPE is settled by neighbouring tokens.
+"""Byte-level BPE encoding and decoding; long text by tree concatenation.
+
+Usual texts are encoded whole, inside their task. A text of more than LONG code points is halved, wherever the
+middle falls, down to parts of UNIT code points at most, which many tasks encode. Neighbours are joined
+pairwise, up a tree: a window from the start of the left side's last pre-token on is split into pre-tokens
+anew, and grows to the right until one of its pre-tokens ends where one of the right side's does; from there
+outwards both sides agree exactly, as a pre-token depends on the text from its start on only. Where the
+window is one pre-token, the last of the left side and the first of the right, its encoding is joined from
+theirs: tokens around the join are merged anew, in a window that grows until its first and last tokens are
+the ones that either side had, as BPE is settled by neighbouring tokens. A pre-token of over PIECE code
+points inside a part is encoded by such halves too.
 
 Defined results: a null text is the empty text (no tokens); repeated rows are encoded each by itself; an
 empty table gives an empty result; other columns are not looked at.
@@ -15,9 +18,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
+from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +29,6 @@ from terralith.llm.common import materialize, small_batches, table
 
 LONG, UNIT, PIECE = 32768, 16384, 2048
 SPECIAL = "<|endoftext|>"
-_CUT = re.compile(r"(?<=\S) ")
 
 
 @lru_cache(maxsize=4)
@@ -90,63 +93,117 @@ class Codec:
             parts = [self.join(*parts[k : k + 2]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
         return parts[0] if parts else []
 
-    def units(self, text: str):
-        """(kind, payload) in order; kinds: text, ids (a special token), pre (whole pre-tokens in the
-        byte alphabet, apart by spaces), part (of one long pre-token) and last (its last part)."""
-        start = 0
-        cuts = [m.start() for m in _CUT.finditer(text)]
-        runs, last = [], 0
-        for c in [*cuts, len(text)]:
-            if c - start > UNIT and last > start:
-                runs.append(text[start:last])
-                start = last
-            last = c
-        runs.append(text[start:])
-        for run in runs:
-            if len(run) <= UNIT:
-                yield "text", run
-                continue
-            for k, piece in enumerate(run.split(SPECIAL)):
-                if k:
-                    yield "ids", str(self.encode(SPECIAL)[0])
-                yield from self._unsplit(piece)
-
-    def _unsplit(self, text: str):
-        held, size = [], 0
-        for pre, _ in self.slow.pre_tokenizer.pre_tokenize_str(text):
-            if len(pre) <= PIECE:
-                held.append(pre)
-                size += len(pre)
-            if held and (len(pre) > PIECE or size > UNIT):
-                yield "pre", " ".join(held)
-                held, size = [], 0
-            if len(pre) > PIECE:
-                parts = _halves(pre)
-                for k, p in enumerate(parts):
-                    yield ("part" if k + 1 < len(parts) else "last"), p
-        if held:
-            yield "pre", " ".join(held)
-
-    def encode_unit(self, kind: str, payload: str) -> list[int]:
-        if kind == "text":
-            return self.encode(payload)
-        if kind == "ids":
-            return [int(payload)]
-        if kind == "pre":
-            return [i for pre in payload.split(" ") for i in self.merge(pre)]
-        return self.merge(payload)
-
-    def assemble(self, encoded: list[tuple[str, list[int]]]) -> list[int]:
-        out, parts = [], []
-        for kind, ids in encoded:
-            if kind in ("part", "last"):
-                parts.append(ids)
-                if kind == "last":
-                    out += self.tree(parts)
-                    parts = []
-            else:
-                out += ids
-        return out
+    @property
+    def splitter(self):
+        return _compiled(self.args[2])
+
+    def pre_tokens(self, text: str) -> list[int]:
+        """Ends of the pre-tokens of a text; a special token is one."""
+        ends, at = [], 0
+        for k, piece in enumerate(text.split(SPECIAL)):
+            if k:
+                at += len(SPECIAL)
+                ends.append(at)
+            ends += [at + m.end() for m in self.splitter.finditer(piece)]
+            at += len(piece)
+        return ends
+
+    def piece(self, pre: str) -> list[int]:
+        """Ids of one pre-token (or special token); a long one by halves."""
+        if pre == SPECIAL:
+            return self.encode(SPECIAL)
+        names = _alphabet(self.args)
+        return self.tree([self.merge("".join([names[b] for b in half.encode()])) for half in _halves(pre)])
+
+    def part(self, text: str) -> Part:
+        """The encoding of a part by itself, with the places where its pre-tokens end."""
+        ends = self.pre_tokens(text)
+        starts = [0, *ends[:-1]]
+        if any(b - a > PIECE for a, b in zip(starts, ends, strict=True)):
+            pieces = [self.piece(text[a:b]) for a, b in zip(starts, ends, strict=True)]
+            ids = [i for p in pieces for i in p]
+            return Part(text, ids, np.array(ends, np.int64), np.cumsum([len(p) for p in pieces]).astype(np.int64))
+        ids = self.encode(text)
+        size = _sizes(self.args)
+        reach = np.cumsum(size[np.array(ids, np.int64)])
+        byte_ends = np.cumsum([len(text[a:b].encode()) for a, b in zip(starts, ends, strict=True)]) if ends else np.zeros(0, np.int64)
+        return Part(text, ids, np.array(ends, np.int64), np.searchsorted(reach, byte_ends) + 1)
+
+    def concatenate(self, a: Part, b: Part) -> Part:
+        """The encoding of the text a + b."""
+        if not a.text or not b.text:
+            return a if not b.text else b
+        start, first = (int(a.ends[-2]), int(a.counts[-2])) if len(a.ends) > 1 else (0, 0)
+        last = a.text[start:]
+        reach = 1
+        while True:
+            reach = min(reach, len(b.ends))
+            whole = reach == len(b.ends)
+            window = last + b.text[: int(b.ends[reach - 1])]
+            ends = self.pre_tokens(window)
+            stops = {len(last) + int(e): k + 1 for k, e in enumerate(b.ends[:reach])} | {len(last): 0}
+            # the window's own last pre-token may go on beyond it
+            agreed = next((k for k, e in enumerate(ends) if e in stops and (whole or k + 1 < len(ends))), None)
+            if agreed is not None:
+                break
+            reach *= 2
+        taken = stops[ends[agreed]]
+        if agreed == 0 and taken == 1:
+            pieces = [self.join(a.ids[first:], b.ids[: int(b.counts[0])])]
+        else:
+            pieces = [self.piece(window[x:y]) for x, y in zip([0, *ends[:agreed]], ends[: agreed + 1], strict=True)]
+        middle = [i for p in pieces for i in p]
+        skip = int(b.counts[taken - 1]) if taken else 0
+        counts = np.concatenate([a.counts[:-1], first + np.cumsum([len(p) for p in pieces]), b.counts[taken:] + (first + len(middle) - skip)])
+        places = np.concatenate([a.ends[:-1], start + np.array(ends[: agreed + 1]), b.ends[taken:] + len(a.text)])
+        return Part(a.text + b.text, a.ids[:first] + middle + b.ids[skip:], places, counts)
+
+    def assemble(self, parts: list[Part]) -> list[int]:
+        while len(parts) > 1:
+            parts = [self.concatenate(*parts[k : k + 2]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+        return parts[0].ids if parts else []
+
+
+@dataclass
+class Part:
+    """A text, its ids, and for each pre-token where it ends in the text and how many ids there are up to it."""
+
+    text: str
+    ids: list[int]
+    ends: np.ndarray
+    counts: np.ndarray
+
+
+@lru_cache(maxsize=4)
+def _compiled(pattern: str):
+    import regex
+
+    return regex.compile(pattern)
+
+
+@lru_cache(maxsize=4)
+def _sizes(args: tuple[str, str, str]) -> np.ndarray:
+    """Bytes of every token."""
+    fast = _fast(*args[1:])
+    return np.array([len(fast.decode_single_token_bytes(i)) for i in range(fast.n_vocab)], np.int64)
+
+
+@lru_cache(maxsize=4)
+def _alphabet(args: tuple[str, str, str]) -> list[str]:
+    """The character that stands for each byte in the tokenizers file."""
+    fast, slow = _fast(*args[1:]), _tokenizer(args[0])
+    return [slow.id_to_token(fast.encode_single_token(bytes([b]))) for b in range(256)]
+
+
+def halved(text: str) -> list[str]:
+    """Parts of UNIT code points at most, by halves; a special token is never cut."""
+    if len(text) <= UNIT:
+        return [text]
+    middle = len(text) // 2
+    found = text.find(SPECIAL, max(0, middle - len(SPECIAL) + 1), middle + len(SPECIAL) - 1)
+    if 0 <= found < middle:
+        middle = found or len(SPECIAL)
+    return halved(text[:middle]) + halved(text[middle:])
 
 
 def _halves(text: str) -> list[str]:
@@ -200,30 +257,32 @@ def encode(docs: DataFrame, codec: Codec | None = None, want_ids: bool = True) -
 
         for batch in batches:
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                units = list(codec.units(text))
-                columns = [pa.array([row] * len(units), pa.int64()), pa.array(range(len(units)), pa.int32()), pa.array([k for k, _ in units], pa.string()), pa.array([p for _, p in units], pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "unit", "kind", "payload"])
+                parts = halved(text)
+                columns = [pa.array([row] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "unit", "part"])
 
     def each(batches):
         import pyarrow as pa
 
         for batch in batches:
-            ids = [codec.encode_unit(k, p) for k, p in zip(batch.column("kind").to_pylist(), batch.column("payload").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("unit"), batch.column("kind"), pa.array(ids, pa.list_(pa.int32()))], ["row", "unit", "kind", "ids"])
+            parts = [codec.part(t) for t in batch.column("part").to_pylist()]
+            lists = [pa.array([x.tolist() for x in column], pa.list_(pa.int32())) for column in ([np.array(p.ids) for p in parts], [p.ends for p in parts], [p.counts for p in parts])]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("unit"), batch.column("part"), *lists], ["row", "unit", "part", "ids", "ends", "counts"])
 
     def joined(group):
         import pyarrow as pa
 
-        group = group.sort_by("unit")
-        ids = codec.assemble(list(zip(group.column("kind").to_pylist(), group.column("ids").to_pylist(), strict=True)))
-        return pa.Table.from_batches([_out(group.column("doc_id")[:1].combine_chunks(), [ids], codec, want_ids)])
+        group = group.sort_by("unit").combine_chunks()
+        columns = [group.column(c).to_pylist() for c in ("part", "ids", "ends", "counts")]
+        parts = [Part(t, i, np.array(e, np.int64), np.array(c, np.int64)) for t, i, e, c in zip(*columns, strict=True)]
+        return pa.Table.from_batches([_out(group.column("doc_id")[:1].combine_chunks(), [codec.assemble(parts)], codec, want_ids)])
 
     short = rows.where(F.char_length("text") <= LONG).mapInArrow(whole, schema)
     # row numbers are given to a written table, so every later read sees the same ones
     long = materialize(rows.where(F.char_length("text") > LONG).withColumn("row", F.monotonically_increasing_id()), "bpe-long")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    units = long.select("row", "text").mapInArrow(cut, "row bigint, unit int, kind string, payload string").repartition(n, "row", "unit")
-    ids = units.mapInArrow(each, "row bigint, unit int, kind string, ids array<int>").join(long.select("row", "doc_id"), "row")
+    units = long.select("row", "text").mapInArrow(cut, "row bigint, unit int, part string").repartition(n, "row", "unit")
+    ids = units.mapInArrow(each, "row bigint, unit int, part string, ids array<int>, ends array<int>, counts array<int>").join(long.select("row", "doc_id"), "row")
     return short.unionByName(ids.groupBy("row").applyInArrow(joined, schema))
 
 

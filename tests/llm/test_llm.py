@@ -132,10 +132,20 @@ def test_topk_keeps_repeated_rows_as_its_sql_does(spark, block):
 
 def test_bpe_joins_and_round_trip(docs, texts, empty):
     c = bpe.default_codec()
-    for alphabet in ("ab", "aeiou", "é漢", "= -"):
+    # unsplit, split at random, specials, and cuts that fall into words, runs of spaces and elisions
+    for alphabet in ("ab", "aeiou", "é漢", "= -", ["a", " ", "  ", "\n", "'s", "'", "!!", "7", "don't ", "<|endoftext|>", "word "], [" ", "\n", "\t", "x"]):
         t = "".join(random.choice(alphabet) for _ in range(40_000))
-        ids = c.assemble([(k, c.encode_unit(k, p)) for k, p in c.units(t)])
-        assert ids == c.slow.encode(t, add_special_tokens=False).ids
+        assert c.assemble([c.part(p) for p in bpe.halved(t)]) == c.slow.encode(t, add_special_tokens=False).ids
+        for _ in range(200):
+            k, n = random.randrange(len(t) - 60), random.randint(2, 60)
+            short = t[k : k + n]
+            cut = random.randint(1, n - 1)
+            inside = any(short[max(0, cut - w) : cut - w + 13] == bpe.SPECIAL for w in range(1, 13) if cut - w >= 0)
+            if not inside:
+                assert c.concatenate(c.part(short[:cut]), c.part(short[cut:])).ids == c.slow.encode(short, add_special_tokens=False).ids
+    long = [(1, "ab" * 30_000), (2, prose(20_000)), (3, "x " + "é" * 50_000 + " y"), (4, "\n" * 40_000 + "a"), (5, "<|endoftext|>" * 4000)]
+    out = bpe.encode(docs.sparkSession.createDataFrame(long, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["ids"] for r in out} == {i: c.slow.encode(t, add_special_tokens=False).ids for i, t in long}
     out = bpe.encode(docs)
     got = sorted((r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in out.collect())
     want = sorted((i, len(c.slow.encode(t or "", add_special_tokens=False).ids), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in texts)
