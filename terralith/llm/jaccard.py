@@ -223,11 +223,19 @@ def difference_links(groups: DataFrame, labels: DataFrame) -> DataFrame:
     of all but c - 1 differences holds a common one. The least 9d - n of the group stands for the partner's;
     a pair is met at its first common difference, after which enough of both must be left.
     """
-    own = labels.select(F.col("node").alias("hub"), F.col("component").alias("at_hub"))
-    g = groups.join(labels, "node", "left").join(own, "hub", "left").withColumn("component", F.coalesce("component", "node"))
-    g = g.select("hub", "node", "s1", "n", "delta", "component", (F.col("component") != F.coalesce("at_hub", "hub")).alias("far"), F.size("delta").alias("d"), F.expr("9 * size(delta) - n").alias("e"))
-    least = g.groupBy("hub").agg(F.min("e").alias("e_all"), F.min(F.when(F.col("far"), F.col("e"))).alias("e_far")).where("e_far IS NOT NULL")
-    g = materialize(g.join(least, "hub").withColumn("p", F.expr("d + 1 - greatest(1, cast(ceil((e + if(far, e_all, e_far)) / 18) AS INT))")).where("p > 0").drop("e_all", "e_far"), "jaccard-groups")
+    total = groups.count()
+    named = labels.select(F.col("node").alias("hub"), F.col("component").alias("at_hub"))
+    own = merged(groups.groupBy("hub").agg(F.count("*").alias("m")), named, "hub", "left")
+    g = joined_by_key(groups, materialize(own, "jaccard-hub-sizes"), "hub", total)
+    g = merged(g, labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    far = (F.col("component") != F.coalesce("at_hub", "hub")).alias("far")
+    g = g.select("hub", "node", "s1", "n", "delta", "component", far, F.size("delta").alias("d"), F.expr("9 * size(delta) - n").alias("e"))
+    g = materialize(g, "jaccard-around")
+    ends = [F.count("*").alias("m"), F.min("e").alias("e_all"), F.min(F.when(F.col("far"), F.col("e"))).alias("e_far")]
+    least = materialize(g.groupBy("hub").agg(*ends).where("e_far IS NOT NULL"), "jaccard-least")
+    needed = "d + 1 - greatest(1, cast(ceil((e + if(far, e_all, e_far)) / 18) AS INT))"
+    g = joined_by_key(g, least, "hub", total).withColumn("p", F.expr(needed)).where("p > 0").drop("e_all", "e_far", "m")
+    g = materialize(g, "jaccard-groups")
     each = g.select("hub", "node", "s1", "component", "far", "n", "d", "e", "p", F.explode("delta").alias("token"))
     rare = each.groupBy("hub", "token").agg(F.count("*").alias("m"))
     order = Window.partitionBy("hub", "node", "s1").orderBy("m", "token")
