@@ -45,7 +45,7 @@ STAGES = [
     ("BPE encoding", encode),
 ]
 
-#: EM and BPE are not SQL; tests hold the pipeline against a plain Python version.
+#: EM and BPE are not SQL; tests hold each stage's operator against brute force, and the pipeline's stages one by one.
 ORACLE_SQL = None
 
 
