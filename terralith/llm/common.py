@@ -42,11 +42,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write a table into the shared folder and read it back: cuts lineage, outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/terralith/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

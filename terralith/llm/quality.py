@@ -188,7 +188,7 @@ def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.
     votes, and read again when the model is known, so that no text is shuffled to meet its verdict."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     voted = docs.select(whole, once(counts(F.col("text"))).alias("c")).select("__row", *flat_counts("c")).select("__row", "n_words", "n_repeat_words", votes_of(rules))
-    voted = materialize(voted, "quality-votes")
+    voted = materialize(voted, "quality-votes", "zstd")
     model = fit(materialize(voted.groupBy("votes").agg(F.count("*").alias("n")).coalesce(1), "vote-patterns"), rules)
     return voted.where(~failed() & (F.round(model.posterior(), 6) >= threshold)).select("__row.*")
 

@@ -22,7 +22,7 @@ RULE_VERSION = "secrets-1"
 #: Kinds in the order in which spans with the same start are listed.
 BASE_KINDS = ("assign", "access", "hex")
 MORE_KINDS = ("jwt", "pem", "ghtoken")
-#: Up to this many unseen blobs (100 bytes each) are broadcast to the texts; more are met by a shuffle.
+#: Up to this many blobs (unseen ones, or those with spans) are broadcast to the texts; more are met by a shuffle.
 FEW = 100_000
 LEDGER = "blob string, rule_version string, spans array<struct<kind:string,start:int,end:int>>"
 
@@ -122,6 +122,8 @@ def redacted(docs: DataFrame) -> DataFrame:
     paths = materialize(address(keyed(docs)).select("key", "blob"), "secret-paths")
     ledger = update_ledger(keyed(docs), paths, None)
     hot = ledger.where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    # the ledger is a written table: what is counted here is what is sent
+    hot = hot.hint("broadcast" if hot.count() <= FEW else "merge")
     blob = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     joined = docs.join(hot, blob == hot["__blob"], "left")
     return joined.select(*[_redact(F.col("text"), F.col("__spans")).alias(c) if c == "text" else docs[f"`{c}`"] for c in docs.columns])
