@@ -37,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
     if not _LOCAL:
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="spark-terralith-"))
     return _LOCAL[0]
