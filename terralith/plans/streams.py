@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from terralith.sources.fixtures import table
-from terralith.streaming.windows import run_stored
+from terralith.streaming.windows import enriched, run_stored, sessions
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -18,3 +18,25 @@ def stream_daily_counts(spark, sf_dir):
 QUERIES["stream_daily_counts"] = stream_daily_counts
 ORACLES["stream_daily_counts"] = """SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events
 WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2"""
+
+
+def stream_sessions(spark, sf_dir):
+    """Sessions of users that the watermark closed."""
+    return run_stored(spark, f"{sf_dir}/events.parque[t]", table(spark, sf_dir, "events").schema, sessions)
+
+
+QUERIES["stream_sessions"] = stream_sessions
+ORACLES["stream_sessions"] = """WITH m AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 4 HOUR, TRUE) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m)
+SELECT user_id, min(ts) AS started, count(*) AS n, max(value) AS most FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 4 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
+
+
+def stream_static_join(spark, sf_dir):
+    """Daily events by the market segment of the customer, closed days only."""
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey AS user_id", "c_mktsegment AS segment")
+    return run_stored(spark, f"{sf_dir}/events.parque[t]", table(spark, sf_dir, "events").schema, lambda e: enriched(e, c, "user_id", "segment"))
+
+
+QUERIES["stream_static_join"] = stream_static_join
+ORACLES["stream_static_join"] = """WITH j AS (SELECT * FROM events JOIN customer ON c_custkey = user_id)
+SELECT CAST(ts AS DATE) AS day, c_mktsegment AS segment, count(*) AS n FROM j WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM j) GROUP BY 1, 2"""
