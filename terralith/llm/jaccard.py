@@ -34,8 +34,8 @@ from terralith.llm.graph import components
 
 SIZE, PERCENT = 5, 80
 #: Counters of the sketch, and hash functions for the first comparison with central nodes.
-SKETCH, PERMUTATIONS = 1 << 16, 8
-AGREEING = 3
+SKETCH, PERMUTATIONS = 1 << 16, 16
+AGREEING = 6
 #: Cost of verifying a candidate, in prefix entries shuffled; other nodes that any shingle is taken to
 #: meet beyond what the sketch can tell; the longest lengthening, as a part of the set.
 VERIFY_COST, UNSEEN, MOST = 64, 0.05, 8
