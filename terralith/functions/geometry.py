@@ -89,7 +89,34 @@ def buffer_point(x: Column, y: Column, radius: Column, quadrant: int = 16) -> Co
 
 def clip_convex(ring: Column, mask: Column) -> Column:
     """The part of a ring inside a convex counterclockwise mask (Sutherland-Hodgman); no vertices if nothing is shared."""
-    sides = _edges(mask, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return left_of(ring, _edges(mask, lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+
+
+def eroded(ring: Column, inset: Column) -> Column:
+    """Negative buffer of a convex counterclockwise ring: what is left of every side moved inwards; no vertices if nothing is."""
+
+    def inward(a, b):
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        by = inset / F.sqrt(dx * dx + dy * dy)
+        move = lambda p: F.struct((p["x"] - dy * by).alias("x"), (p["y"] + dx * by).alias("y"))
+        return F.struct(move(a).alias("a"), move(b).alias("b"))
+
+    return left_of(ring, _edges(ring, inward))
+
+
+def representative(ring: Column) -> Column:
+    """A point inside: the middle of the widest inner interval at half height, the left one of equals; null without any."""
+    ys = F.transform(ring, lambda p: p["y"])
+    y = (F.array_min(ys) + F.array_max(ys)) / 2
+    meets = F.filter(edges(ring), lambda e: (e["ay"] > y) != (e["by"] > y))
+    xs = F.array_sort(F.transform(meets, lambda e: e["ax"] + (y - e["ay"]) * (e["bx"] - e["ax"]) / (e["by"] - e["ay"])))
+    starts = F.when(F.size(xs) >= 2, F.sequence(F.lit(0), (F.size(xs) / 2).cast("int") - 1))
+    widest = F.array_max(F.transform(starts, lambda k: F.struct((xs[2 * k + 1] - xs[2 * k]).alias("width"), (-xs[2 * k]).alias("west"))))
+    return F.when(F.size(xs) >= 2, F.struct((widest["width"] / 2 - widest["west"]).alias("x"), y.alias("y")))
+
+
+def left_of(ring: Column, sides: Column) -> Column:
+    """The part of a ring to the left of every line struct<a, b> of sides, cut by one after the other."""
 
     def cut(kept, side):
         a, b = side["a"], side["b"]
