@@ -136,7 +136,8 @@ def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[
     shares = labelled.sparkSession.createDataFrame([(k, threshold(n, per_language)) for k, n in sizes.items()], "lang string, below long")
     # about 1.5 x per_language + 20 texts a language come to the driver, and no more than twice as many
     rows = sound.select("lang", "text", draw.alias("d"), F.xxhash64("text").alias("h")).join(F.broadcast(shares), "lang").where("d < below").drop("below")
-    rows = rows.limit((3 * per_language + 40) * len(sizes) + 1000).collect()
+    # rows of one doc_id share a draw: where these are many, the least by draw and text come, the same in every run
+    rows = rows.orderBy("d", "h", "lang").limit((3 * per_language + 40) * len(sizes) + 1000).collect()
     out, taken = [], {}
     for r in sorted(rows, key=lambda r: (r["d"], r["h"])):
         if taken.setdefault(r["lang"], 0) < per_language:

@@ -210,6 +210,9 @@ def test_language_sample_leaves_no_language_out(spark, monkeypatch):
     texts, langs = language.sample(d, 4)
     assert {x: langs.count(x) for x in set(langs)} == {**{f"l{k}": 2 for k in range(5)}, "l9": 1} and "rare" in texts
     assert language.Model(texts, langs).langs == sorted(set(langs))
+    # more rows of one doc_id than the bound lets through: dealt in any way, the same ones are taken
+    many = spark.createDataFrame([(None, f"word {chr(97 + k % 26)}{k}", "l1") for k in range(2500)], d.schema).union(d)
+    assert language.sample(many.repartition(3), 4) == language.sample(many.repartition(7), 4)
     # the share of a language of any size draws about 1.5 x so many of its rows and 20
     for n in (10**9, 10**12):
         assert 470 <= language.threshold(n, 300) * n / language.DRAWS < 472
