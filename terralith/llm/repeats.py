@@ -3,9 +3,10 @@
 1. Anchors: of the 40-byte grams inside a window of 200 bytes, the one with the least hash (the last of
    ties) is the window's anchor. Equal windows have equal anchors at equal places, so windows need only
    be compared among those of equal anchors. A run of windows with one anchor is one row.
-2. Rows whose anchor occurs once go. Where all rows of an anchor have the same context (all bytes of all
-   their windows), everything is repeated and no text is moved.
-3. The other contexts, one of each kind, are gathered by anchor and suffix-sorted from the anchor on and, reversed, from the
+2. Rows whose anchor occurs once go. Rows of one anchor whose contexts (all bytes of all their windows)
+   hash alike are repeated whole. Each such class is verified: a BLAKE2b digest of every row's bytes is made
+   and the classes whose rows don't all share one digest are given up, their rows compared like all others.
+3. The other contexts, one of each class, are gathered by anchor and suffix-sorted from the anchor on and, reversed, from the
    anchor back. Suffixes are compared by binary search over prefix polynomial hashes in a merge sort, and
    neighbours' common extensions are verified byte by byte. Windows are equal where both the forward and
    the backward extension fall in the same class.
@@ -14,7 +15,7 @@
 
 Defined results: a null text is empty (0 bytes, nothing removed); equal rows are two documents; texts
 under 200 bytes keep everything; an empty table gives an empty result. A row is named by a 64-bit hash of
-doc_id and text, equal contexts by the 128 bits of gram and context hash over mixed eight-byte blocks.
+doc_id and text.
 """
 
 from __future__ import annotations
@@ -299,17 +300,31 @@ def _with_text(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(packed.groupBy("key").agg(F.first("z").alias("z")), "key")
 
 
+SPOTS = "gram bigint, context bigint, key bigint, pos int, least smallint, most smallint, bytes binary, d0 bigint, d1 bigint"
+
+
 def _contexts(batches):
+    """The bytes of every spot's context or, where the spot is only to be verified, their digest."""
     import pyarrow as pa
 
     for batch in batches:
-        out = []
-        for key, z, spots in zip(*(batch.column(c).to_pylist() for c in ("key", "z", "spots")), strict=True):
+        spots, digests = [], []
+        for key, z, wanted in zip(*(batch.column(c).to_pylist() for c in ("key", "z", "spots")), strict=True):
             text = zlib.decompress(z)
-            out += [(s["gram"], s["hot"], key, s["pos"], s["least"], s["most"], text[s["pos"] - s["most"] : s["pos"] - s["least"] + LENGTH]) for s in spots]
-        names = ["gram", "hot", "key", "pos", "least", "most", "bytes"]
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kinds[k]) for k in range(7)], names)
+            for s in wanted:
+                part = text[s["pos"] - s["most"] : s["pos"] - s["least"] + LENGTH]
+                digests.append(hashlib.blake2b(part + b"%d,%d" % (s["least"], s["most"]), digest_size=16).digest() if s["verify"] else bytes(16))
+                spots.append((s["gram"], s["context"], key, s["pos"], s["least"], s["most"], None if s["verify"] else part))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.binary()]
+        halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        columns = [pa.array([x[k] for x in spots], kind) for k, kind in enumerate(kinds)] + [pa.array(halves[:, k].copy()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays(columns, ["gram", "context", "key", "pos", "least", "most", "bytes", "d0", "d1"])
+
+
+def _read_contexts(texts: DataFrame, spots: DataFrame) -> DataFrame:
+    """SPOTS of spots (gram, context, key, pos, least, most, verify)."""
+    wanted = spots.groupBy("key").agg(F.collect_list(F.struct("gram", "context", "pos", "least", "most", "verify")).alias("spots"))
+    return materialize(_with_text(texts, materialize(wanted, "repeat-spots")).mapInArrow(_contexts, SPOTS), "repeat-contexts")
 
 
 def _cut(batches):
@@ -337,10 +352,16 @@ def _cut(batches):
         )
 
 
-def repeated_spans(texts: DataFrame) -> DataFrame:
-    """(key, start, end), overlapping, of the bytes that are repeated; texts: key, text."""
+def repeated_spans(texts: DataFrame, bits: int = 64) -> DataFrame:
+    """(key, start, end), overlapping, of the bytes that are repeated; texts: key, text.
+
+    bits: how many of the context hash are used; results are the same with any number, as classes are verified.
+    """
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = materialize(texts.mapInArrow(_rows, "gram bigint, context bigint, key bigint, pos int, least smallint, most smallint"), "repeat-anchors")
+    rows = texts.mapInArrow(_rows, "gram bigint, context bigint, key bigint, pos int, least smallint, most smallint")
+    if bits < 64:
+        rows = rows.withColumn("context", F.shiftrightunsigned("context", 64 - bits))
+    rows = materialize(rows, "repeat-anchors")
     often = rows.groupBy("gram").agg(F.count("*").alias("m"), F.min("context").alias("c0"), F.max("context").alias("c1")).where("m > 1")
     often = materialize(often.select("gram", "m", F.expr("c0 <> c1").alias("mixed")), "repeat-often")
     total = rows.count()
@@ -349,27 +370,35 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     one = marks.where("mixed").groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos", "least", "most")).alias("s"))
     one = materialize(one, "repeat-kinds")
     alike = joined_by_key(marks.where("mixed"), one.where("n > 1").select("gram", "context", F.col("n").alias("m")), ["gram", "context"], total)
-    whole = marks.where("NOT mixed").unionByName(alike.drop("m")).select("key", F.expr("cast(pos - most AS INT)").alias("start"), F.expr(f"cast(pos - least + {LENGTH} AS INT)").alias("end"))
-    hot = one.groupBy("gram").agg(F.count("*").alias("kinds")).where(f"kinds > {HOT}").select("gram", F.lit(True).alias("hot"))
-    spots = one.join(hot, "gram", "left").select("s.*", "gram", F.coalesce("hot", F.lit(False)).alias("hot"))
-    wanted = materialize(spots.groupBy("key").agg(F.collect_list(F.struct("gram", "hot", "pos", "least", "most")).alias("spots")), "repeat-spots")
-    contexts = _with_text(texts, wanted).mapInArrow(_contexts, "gram bigint, hot boolean, key bigint, pos int, least smallint, most smallint, bytes binary")
-    contexts = materialize(contexts, "repeat-contexts")
-    gathered = contexts.where("NOT hot").repartition(n, "gram").sortWithinPartitions("gram").drop("hot")
+    spot = ["gram", "context", "key", "pos", "least", "most"]
+    alike = materialize(marks.where("NOT mixed").select(*spot).unionByName(alike.select(*spot)), "repeat-alike")
+    kinds = one.select("gram", "context", "s.*")
+    read = _read_contexts(texts, alike.withColumn("verify", F.lit(True)).unionByName(kinds.withColumn("verify", F.lit(False))))
+    digests = read.where("bytes IS NULL").groupBy("gram", "context").agg(*[f(d).alias(f"{d}_{f.__name__}") for d in ("d0", "d1") for f in (F.min, F.max)])
+    false_ = materialize(digests.where("d0_min <> d0_max OR d1_min <> d1_max").select("gram", "context"), "repeat-false")
+    contexts = read.where("bytes IS NOT NULL").select(*spot, "bytes")
+    if not false_.isEmpty():
+        again = _read_contexts(texts, alike.join(false_, ["gram", "context"]).withColumn("verify", F.lit(False)))
+        contexts = contexts.join(false_, ["gram", "context"], "left_anti").unionByName(again.select(*spot, "bytes"))
+        alike = alike.join(false_, ["gram", "context"], "left_anti")
+    whole = alike.select("key", F.expr("cast(pos - most AS INT)").alias("start"), F.expr(f"cast(pos - least + {LENGTH} AS INT)").alias("end"))
+    many = contexts.groupBy("gram").agg(F.count("*").alias("kinds")).where(f"kinds > {HOT}").select("gram", F.lit(True).alias("hot"))
+    contexts = contexts.join(materialize(many, "repeat-many"), "gram", "left")
+    gathered = contexts.where("hot IS NULL").select("gram", "key", "pos", "least", "most", "bytes").repartition(n, "gram").sortWithinPartitions("gram")
     sorted_ = gathered.mapInArrow(_sorted_windows, "key bigint, start int, end int")
-    hashed = materialize(contexts.where("hot").mapInArrow(_hashed_windows, "w binary, key bigint, start int"), "repeat-windows")
+    hashed = materialize(contexts.where("hot").select("key", "pos", "least", "most", "bytes").mapInArrow(_hashed_windows, "w binary, key bigint, start int"), "repeat-windows")
     counted = hashed.groupBy("w").agg(F.count("*").alias("m")).where("m > 1").select("w")
     hot = hashed.join(counted, "w").select("key", "start", F.expr(f"start + {LENGTH}").alias("end"))
     return whole.union(sorted_).union(hot)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, bits: int = 64) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (bytes, end exclusive) of every row."""
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
     texts = docs.select(key.alias("key"), text.alias("text"))
-    spans = materialize(repeated_spans(texts).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "repeat-spans")
+    spans = materialize(repeated_spans(texts, bits).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "repeat-spans")
     cut = _with_text(texts, spans).mapInArrow(_cut, "key bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:int,end:int>>")
     base = docs.select("doc_id", key.alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
     return base.join(cut, "key", "left").select(

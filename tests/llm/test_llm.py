@@ -219,8 +219,9 @@ def test_language_sample_leaves_no_language_out(spark, monkeypatch):
     assert language.threshold(100, 300) == language.DRAWS
 
 
-@pytest.mark.parametrize("hot", [1, 32768])
-def test_repeats_equal_brute_force(docs, texts, empty, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "bits"), [(1, 64), (32768, 64), (32768, 1), (1, 1)])
+def test_repeats_equal_brute_force(docs, texts, empty, hot, bits, monkeypatch):
+    """With one bit of the context hash many classes hold different contexts, which their digests tell apart."""
     monkeypatch.setattr(repeats, "HOT", hot)
     seen = {}
     for _, t in texts:
@@ -235,7 +236,7 @@ def test_repeats_equal_brute_force(docs, texts, empty, hot, monkeypatch):
             if seen[b[p : p + 200]] > 1:
                 m[p : p + 200] = True
         want.append((i, len(b), int(m.sum()), int((np.diff(np.r_[0, m.astype(int)]) == 1).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~m].tobytes()).hexdigest()))
-    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(docs).collect()]
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(docs, bits).collect()]
     assert sorted(got) == sorted(want)
     assert repeats.remove_repeats(empty).count() == 0
 
