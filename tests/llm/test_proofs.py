@@ -52,6 +52,57 @@ def test_patterns_equal_the_contract():
         assert [s for s in secrets.find_secrets(t) if s[0] in secrets.BASE_KINDS] == literal(SECRETS, t), t
 
 
+def labelled_table(n, seed):
+    """Marked sentences with made-up numbers and addresses; dates, versions, orders and handles are not marked."""
+    pick = random.Random(seed)
+    d = lambda k: "".join(pick.choice("0123456789") for _ in range(k))
+    area = lambda: str(pick.randint(201, 989))
+
+    def value(kind):
+        if kind == "phone":
+            return pick.choice([f"({area()}) 555-{d(4)}", f"{area()}-555-{d(4)}", f"{area()}.555.{d(4)}", f"1-800-555-{d(4)}", f"+1 ({area()}) 555-{d(4)}"])
+        if kind == "email":
+            return f"{pick.choice('abcdk')}{pick.choice(['.', '_', ''])}{pick.choice(['meyer', 'rossi', 'novak'])}{d(2)}@{pick.choice(['mail', 'post', 'box'])}{d(1)}.{pick.choice(['example.com', 'example.org'])}"
+        if kind == "ip":
+            return ".".join(str(pick.randint(1, 254)) for _ in range(4))
+        body = "4" + d(14)
+        card = next(body + c for c in "0123456789" if luhn(body + c))
+        return pick.choice(["", " ", "-"]).join(card[k : k + 4] for k in (0, 4, 8, 12))
+
+    def plain():
+        return pick.choice([f"in {pick.randint(1800, 2030)}", f"version {d(1)}.{d(1)}", f"pages {d(2)}-{d(3)}", f"on 20{d(2)}-0{pick.randint(1, 9)}-1{d(1)}", f"{d(3)} people", f"order {d(8)}", f"at 1{d(1)}:4{d(1)}", f"{d(1)},{d(3)}.{d(2)} in all", "see @handle", f"x{d(2)} and y{d(2)}"])
+
+    before, after = ["Please use", "the contact is", "we noted", "ask for", "found :", "ou bien", "siehe", "it says"], ["tomorrow", "if needed", ", thanks", ". Then wait", "and go", "bitte", "again"]
+    out = []
+    for _ in range(n):
+        kind, a, b = pick.choice(personal.KINDS), pick.choice(before), pick.choice(after)
+        out.append(f"{a} [{kind}:{value(kind)}] {b}" if pick.random() < 0.6 else f"{a} {plain()} {b} {plain()}")
+    return out
+
+
+def test_field_on_held_out_sentences(spark):
+    """Precision and recall without any pattern: of the built-in table, and of one that is passed in."""
+    held = labelled_table(400, 1)
+    marks = [re.search(r"\[(\w+):([^\]]+)\]", s) for s in held]
+    texts = [re.sub(r"\[\w+:([^\]]+)\]", r"\1", s) for s in held]
+    want = {(k, m[1], m.start(), m.start() + len(m[2])) for k, m in enumerate(marks) if m}
+    table = spark.createDataFrame([(s, 1) for s in [*labelled_table(300, 2), None, "", "in 1999", "in 1999"]], "sentence string, text int")
+    for sentences, recall in ((personal.SENTENCES, 0.85), (personal.sentences_of(table), 0.98)):
+        got = {(k, *s) for k, spans in enumerate(personal.more_spans(personal.crf(sentences), texts, [[] for _ in texts])) for s in spans}
+        assert len(got & want) >= 0.98 * len(got), len(got & want) / len(got)
+        assert len(got & want) >= recall * len(want), len(got & want) / len(want)
+
+
+def test_field_from_a_table_that_is_passed_in(spark):
+    docs = spark.createDataFrame([(1, "ring 469-555-0306 or 10.0.0.7", "x"), (2, None, "y")], "doc_id long, text string, spans string")
+    rows = lambda table: {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in personal.find(docs, table).collect()}
+    none = spark.createDataFrame([], "sentence string")
+    some = spark.createDataFrame([("ring [phone:469-555-0306] or 2019",)] * 3, "sentence string")
+    assert rows(none) == {1: ["ip"], 2: []}
+    assert rows(some) == {1: ["phone", "ip"], 2: []}
+    assert personal.find(docs.where("false")).count() == 0
+
+
 def plain_votes(t):
     t = t or ""
     w, n = WORD.findall(t), len(WORD.findall(t))
