@@ -71,6 +71,38 @@ def joined_by_key(rows: DataFrame, keys: DataFrame, key: str | list[str], total:
     return cold.unionByName(rows.join(F.broadcast(hot), names))
 
 
+def streamed_sha256(pieces: DataFrame, key: str, order: str, sep: str) -> DataFrame:
+    """key, sha256 of each key's pieces (a column of that name), joined by sep in order.
+
+    A task reads its keys' pieces one after the other, sorted, and holds the state of one digest only.
+    """
+
+    def digest(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        kind, now, state = None, None, None
+        for batch in batches:
+            keys, done = batch.column(0).to_pylist(), ([], [])
+            kind = batch.schema.field(0).type
+            for k, piece in zip(keys, batch.column(1).to_pylist(), strict=True):
+                if state is not None and k == now:
+                    state.update(sep.encode())
+                else:
+                    if state is not None:
+                        done[0].append(now)
+                        done[1].append(state.hexdigest())
+                    now, state = k, hashlib.sha256()
+                state.update(piece.encode())
+            yield pa.RecordBatch.from_arrays([pa.array(done[0], kind), pa.array(done[1], pa.string())], [key, "sha256"])
+        if state is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([state.hexdigest()])], [key, "sha256"])
+
+    rows = pieces.select(key, order, "piece").repartition(key).sortWithinPartitions(key, order).select(key, "piece")
+    return rows.mapInArrow(digest, f"{key} {pieces.schema[key].dataType.simpleString()}, sha256 string")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once, though body's own lambdas use it many times."""
     return F.transform(F.array(value), body)[0]
