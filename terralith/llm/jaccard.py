@@ -23,6 +23,7 @@ with nothing and has a null component; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -113,15 +114,15 @@ def profile(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.where("bucket IS NULL").drop("bucket", "count"), both.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("count"))
 
 
-def central_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b): each node with the most central node of its MinHash buckets.
+def central_pairs(nodes: DataFrame, keys: int = PERMUTATIONS, agreeing: int = AGREEING, percent: int = PERCENT) -> DataFrame:
+    """(a, b): each node with the most central node of its buckets, one for each of its keys (column mh).
 
-    A node is the more central, the larger the buckets of all its MinHashes are. Pairs that agree in few
+    A node is the more central, the larger the buckets of all its keys are. Pairs that agree in few
     of them are left to the join.
     """
     each = nodes.select("node", F.posexplode("mh").alias("i", "v")).select("node", F.xxhash64("i", "v").alias("bucket"))
     sizes = materialize(each.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "jaccard-buckets")
-    total = PERMUTATIONS * nodes.count()
+    total = keys * nodes.count()
     # one row a node again, so that its score needs no join
     held = joined_by_key(each, sizes, "bucket", total).groupBy("node").agg(F.collect_list("bucket").alias("buckets"), F.round(F.sum(F.log("m")), 6).alias("score"))
     held = materialize(held, "jaccard-scores")
@@ -129,11 +130,11 @@ def central_pairs(nodes: DataFrame) -> DataFrame:
     best = kept.groupBy("bucket").agg(F.count("*").alias("m"), F.max(F.struct("score", (-F.col("node")).alias("neg"))).alias("best"))
     best = best.select("bucket", "m", (-F.col("best.neg")).alias("a"))
     pairs = joined_by_key(kept.select("node", "bucket"), materialize(best, "jaccard-best"), "bucket", total)
-    pairs = pairs.select("a", F.col("node").alias("b")).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("same")).where(F.col("same") >= AGREEING)
+    pairs = pairs.select("a", F.col("node").alias("b")).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("same")).where(F.col("same") >= agreeing)
     size = nodes.select("node", "n")
     pairs = merged(pairs, size.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a")
     pairs = merged(pairs, size.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
-    return pairs.where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").select("a", "b")
+    return pairs.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
 
 
 def _packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -159,7 +160,7 @@ def _packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.select("node", "text", bit.alias("bit")).mapInArrow(pack, "node bigint, z binary")
 
 
-def _compare(batches):
+def _compare(batches, percent: int):
     """Rows by (hub, salt), the hub's own first: (a, b) of those that share half of both sets, whether they
     link, and b's n, s1 and differences from a (none where a stands for several texts)."""
     import pyarrow as pa
@@ -178,7 +179,7 @@ def _compare(batches):
                 hub = h
             elif hub == h and len(s):
                 shared = [len(np.intersect1d(t, s, assume_unique=True)) for t in held]
-                linked = any(100 * i >= PERCENT * (len(t) + len(s) - i) for t, i in zip(held, shared, strict=True))
+                linked = any(100 * i >= percent * (len(t) + len(s) - i) for t, i in zip(held, shared, strict=True))
                 if linked or any(3 * i >= len(t) + len(s) for t, i in zip(held, shared, strict=True)):
                     alone = len(held) == 1
                     out.append((h, other, linked, len(s), np.bitwise_xor.reduce(mix(s)).view(np.int64), _i64(np.setxor1d(held[0], s, assume_unique=True)) if alone else None))
@@ -187,7 +188,7 @@ def _compare(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types, strict=True)], ["a", "b", "linked", "n", "s1", "delta"])
 
 
-def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def compare(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """pairs (a, b; a written table) of similar nodes, as _compare gives them. The work of a
     node with many pairs is dealt over groups that each get a copy of its text."""
     degree = pairs.groupBy("a").agg(F.count("*").alias("m"))
@@ -197,12 +198,12 @@ def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = merged(both, _packed(docs, ids).withColumnRenamed("node", "other"), "other").select("hub", "salt", "other", "z")
     rows = rows.repartition(n, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("other") != F.col("hub"))
-    return materialize(rows.mapInArrow(_compare, "a bigint, b bigint, linked boolean, n int, s1 bigint, delta array<bigint>"), "jaccard-compared")
+    return materialize(rows.mapInArrow(lambda batches: _compare(batches, percent), "a bigint, b bigint, linked boolean, n int, s1 bigint, delta array<bigint>"), "jaccard-compared")
 
 
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verify(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those of pairs whose exact similarity is high enough."""
-    return compare(docs, pairs).where("linked").select("a", "b").distinct()
+    return compare(docs, pairs, percent).where("linked").select("a", "b").distinct()
 
 
 def around_hubs(compared: DataFrame) -> DataFrame:
@@ -214,39 +215,41 @@ def around_hubs(compared: DataFrame) -> DataFrame:
     return materialize(best.join(hubs, "node", "left_anti").select("hub", "node", "s1", "n", "delta"), "jaccard-hubs")
 
 
-def difference_links(groups: DataFrame, labels: DataFrame) -> DataFrame:
+def difference_links(groups: DataFrame, labels: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between nodes of one hub and different components.
 
     With dx and dy differences from the hub, c of them common, x and y differ in dx + dy - 2c shingles, and
-    link if that is at most (nx + ny) / 9: c must be at least (9dx - nx + 9dy - ny) / 18. Of two nodes of
+    link (at 80 percent) if that is at most (nx + ny) / 9: c must be at least (9dx - nx + 9dy - ny) / 18. Of two nodes of
     different components one doesn't link with the hub (it is far), so that c is at least 1, and a prefix
     of all but c - 1 differences holds a common one. The least 9d - n of the group stands for the partner's;
     a pair is met at its first common difference, after which enough of both must be left.
     """
+    unit = math.gcd(100 + percent, 100 - percent)
+    up, down = (100 + percent) // unit, (100 - percent) // unit  # 9 and 1 at 80 percent
     total = groups.count()
     named = labels.select(F.col("node").alias("hub"), F.col("component").alias("at_hub"))
     own = merged(groups.groupBy("hub").agg(F.count("*").alias("m")), named, "hub", "left")
     g = joined_by_key(groups, materialize(own, "jaccard-hub-sizes"), "hub", total)
     g = merged(g, labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     far = (F.col("component") != F.coalesce("at_hub", "hub")).alias("far")
-    g = g.select("hub", "node", "s1", "n", "delta", "component", far, F.size("delta").alias("d"), F.expr("9 * size(delta) - n").alias("e"))
+    g = g.select("hub", "node", "s1", "n", "delta", "component", far, F.size("delta").alias("d"), F.expr(f"{up} * size(delta) - {down} * n").alias("e"))
     g = materialize(g, "jaccard-around")
     ends = [F.count("*").alias("m"), F.min("e").alias("e_all"), F.min(F.when(F.col("far"), F.col("e"))).alias("e_far")]
     least = materialize(g.groupBy("hub").agg(*ends).where("e_far IS NOT NULL"), "jaccard-least")
-    needed = "d + 1 - greatest(1, cast(ceil((e + if(far, e_all, e_far)) / 18) AS INT))"
+    needed = f"d + 1 - greatest(1, cast(ceil((e + if(far, e_all, e_far)) / {2 * up}) AS INT))"
     g = joined_by_key(g, least, "hub", total).withColumn("p", F.expr(needed)).where("p > 0").drop("e_all", "e_far", "m")
     g = materialize(g, "jaccard-groups")
     each = g.select("hub", "node", "s1", "component", "far", "n", "d", "e", "p", F.explode("delta").alias("token"))
     rare = each.groupBy("hub", "token").agg(F.count("*").alias("m"))
     order = Window.partitionBy("hub", "node", "s1").orderBy("m", "token")
     held = materialize(each.join(rare, ["hub", "token"]).withColumn("at", F.row_number().over(order)).where("at <= p AND m > 1").drop("p", "m"), "jaccard-differences")
-    fits = "x.hub = y.hub AND x.token = y.token AND x.component <> y.component AND (NOT y.far OR x.node < y.node) AND x.e + y.e <= 18 * (1 + least(x.d - x.at, y.d - y.at)) AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"
+    fits = f"x.hub = y.hub AND x.token = y.token AND x.component <> y.component AND (NOT y.far OR x.node < y.node) AND x.e + y.e <= {2 * up} * (1 + least(x.d - x.at, y.d - y.at)) AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
     key = lambda side: [F.col(f"{side}.{c}").alias(f"{c}_{side}") for c in ("node", "s1")]
     met = held.where("far").alias("x").join(held.alias("y"), F.expr(fits)).select(*key("x"), *key("y")).distinct()
     whole = lambda side: g.select(*[F.col(c).alias(f"{c}_{side}") for c in ("node", "s1", "n", "delta")])
     both = met.join(whole("x"), ["node_x", "s1_x"]).join(whole("y"), ["node_y", "s1_y"])
     same = F.size(F.array_intersect("delta_x", "delta_y"))
-    near = both.where(9 * (F.size("delta_x") + F.size("delta_y") - 2 * same) <= F.col("n_x") + F.col("n_y"))
+    near = both.where(up * (F.size("delta_x") + F.size("delta_y") - 2 * same) <= down * (F.col("n_x") + F.col("n_y")))
     return near.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
 
 
@@ -306,18 +309,22 @@ def _met_tokens(own: DataFrame, counts: np.ndarray) -> DataFrame:
     return cold.unionByName(joined_by_key(once, keys, "token", once.count()).drop("m"))
 
 
+def placed(nodes: DataFrame, labels: DataFrame, groups: DataFrame) -> DataFrame:
+    """node, s1, component, hub of every node; one without a component or hub is its own."""
+    hubs = groups.select("node", "s1", "hub").union(groups.selectExpr("hub AS node", "CAST(NULL AS BIGINT) AS s1", "hub").distinct())
+    named = merged(nodes.select("node", "s1"), labels, "node", "left").alias("n")
+    named = named.join(hubs.hint("merge").alias("h"), F.expr("n.node = h.node AND (h.s1 IS NULL OR n.s1 = h.s1)"), "left")
+    return named.selectExpr("n.node", "n.s1", "coalesce(component, n.node) AS component", "coalesce(hub, n.node) AS hub")
+
+
 def candidates(docs: DataFrame, nodes: DataFrame, labels: DataFrame, groups: DataFrame, sketch: DataFrame) -> DataFrame:
     """Pairs of nodes of different components and hubs that share enough of their prefixes."""
     counts = np.zeros(SKETCH, np.int64)
     for r in sketch.collect():  # SKETCH rows at most
         counts[r["bucket"]] = r["count"]
     own = materialize(prefixes(docs, counts), "jaccard-prefixes")
-    hubs = groups.select("node", "s1", "hub").union(groups.selectExpr("hub AS node", "CAST(NULL AS BIGINT) AS s1", "hub").distinct())
-    named = merged(nodes.select("node", "s1"), labels, "node", "left").alias("n")
-    named = named.join(hubs.hint("merge").alias("h"), F.expr("n.node = h.node AND (h.s1 IS NULL OR n.s1 = h.s1)"), "left")
-    named = named.selectExpr("n.node", "n.s1", "coalesce(component, n.node) AS component", "coalesce(hub, n.node) AS hub")
     about = own.select("node", "s1", "n", "matches", F.struct("seen", "last").alias("last"), F.size("tokens").alias("p"))
-    named = merged(named, about, ["node", "s1"]).dropDuplicates(["node", "s1"])
+    named = merged(placed(nodes, labels, groups), about, ["node", "s1"]).dropDuplicates(["node", "s1"])
     rows = materialize(merged(_met_tokens(own, counts), named, "s1").drop("s1"), "jaccard-met")
     # tokens within one component or one hub lead to no pair
     ends = [F.expr(f"{f}({c})").alias(f"{f}_{c}") for c in ("component", "hub") for f in ("min", "max")]
@@ -334,6 +341,22 @@ def candidates(docs: DataFrame, nodes: DataFrame, labels: DataFrame, groups: Dat
     return met.groupBy("a", "b").agg(F.count("*").alias("m"), F.min("k").alias("k")).where("m >= k").select("a", "b")
 
 
+def same_document(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) of documents to the node of their set; the rows of one doc_id are one document, whatever its sets."""
+    return merged(rows.where("n > 0").select("doc_id", "s1", "s2"), nodes.select("node", "s1", "s2"), ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
+
+
+def joint_classes(rows: DataFrame, labels: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row (doc_id, n), from components and further links between them."""
+    a, b = labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    between = merged(merged(found, a, "a", "left"), b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
+    joint = components(between).select(F.col("node").alias("component"), F.col("component").alias("merged"))
+    final = merged(labels, joint, "component", "left").select("node", F.coalesce("merged", "component").alias("c"))
+    alone = merged(joint, labels.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("merged").alias("c"))
+    final = final.union(alone).withColumnRenamed("node", "doc_id")
+    return merged(rows.select("doc_id", "n"), final, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("c", "doc_id")).alias("component_id"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     rows, sketch = profile(docs)
@@ -341,18 +364,9 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = materialize(nodes, "jaccard-nodes")
     compared = compare(docs, materialize(central_pairs(nodes), "jaccard-central"))
     near, groups = compared.where("linked").select("a", "b").distinct(), around_hubs(compared)
-    # the rows of one doc_id are one document, whatever its sets
-    same = merged(rows.where("n > 0").select("doc_id", "s1", "s2"), nodes.select("node", "s1", "s2"), ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
-    labels = materialize(components(near.union(same)), "jaccard-components")
+    labels = materialize(components(near.union(same_document(rows, nodes))), "jaccard-components")
     found = verify(docs, materialize(candidates(docs, nodes, labels, groups, sketch), "jaccard-pairs"))
-    found = found.union(difference_links(groups, labels))
-    a, b = labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    between = merged(merged(found, a, "a", "left"), b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
-    joint = components(between).select(F.col("node").alias("component"), F.col("component").alias("merged"))
-    final = merged(labels, joint, "component", "left").select("node", F.coalesce("merged", "component").alias("c"))
-    alone = merged(joint, labels.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("merged").alias("c"))
-    final = final.union(alone).withColumnRenamed("node", "doc_id")
-    return merged(rows.select("doc_id", "n"), final, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("c", "doc_id")).alias("component_id"))
+    return joint_classes(rows, labels, found.union(difference_links(groups, labels)))
 
 
 def representatives(docs: DataFrame) -> DataFrame:

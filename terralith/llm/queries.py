@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terralith.llm import bpe, jaccard, language, licenses, mixing, personal, quality, repair, repeats, secrets, topk, trie
+from terralith.llm import bpe, jaccard, language, licenses, mixing, personal, quality, repair, repeats, secrets, setsketch, topk, trie
 
 
 def queries() -> dict:
@@ -18,9 +18,18 @@ def queries() -> dict:
         "op9_mixing": mixing.op9_mixing,
         "op10_jaccard": jaccard.op10_jaccard,
         "op11_repair": repair.op11_repair,
+        "op12_setsketch": setsketch.op12_setsketch,
         "op13_trie": trie.op13_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": secrets.oracle_sql(), "op3_topk": topk.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op11_repair": repair.oracle_sql(), "op13_trie": trie.oracle_sql()}
+    return {
+        "op1_secrets": secrets.oracle_sql(),
+        "op3_topk": topk.ORACLE_SQL,
+        "op9_mixing": mixing.ORACLE_SQL,
+        "op10_jaccard": setsketch.link_sql(jaccard.PERCENT),
+        "op11_repair": repair.oracle_sql(),
+        "op12_setsketch": setsketch.ORACLE_SQL,
+        "op13_trie": trie.oracle_sql(),
+    }
