@@ -68,7 +68,7 @@ def patterns(text: str) -> list[tuple[str, int, int]]:
         found += [("email", a, b) for a, b in _emails(text)]
     for run in _DOTTED.finditer(text):
         if run[0].count(".") >= 3:
-            found += [("ip", *m.span()) for m in _IP.finditer(text, run.start(), run.end()) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+            found += [("ip", *m.span()) for m in _IP.finditer(text, run.start(), run.end()) if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in m[0].split("."))]
     found += [("card", *m.span()) for m in _CARD.finditer(text) if m.end() - m.start() >= 14 and 14 <= len(d := digits_of(m[0])) <= 19 and luhn(d)]
     if "+" in text:
         found += [("phone", *m.span()) for m in _PHONE.finditer(text) if 10 <= len(digits_of(m[0])) <= 15]
