@@ -4,7 +4,7 @@ one-versus-rest kernel ridge regression.
 The kernel of two texts is the number of 1- to 3-grams of letters and spaces that both hold, over the
 square root of the product of their own numbers. Grams are those of the landmarks' texts, in any script. Landmarks
 and training rows are a sample of labelled rows: per language up to PER_LANGUAGE texts of at most TRAIN_CHARS
-code points, chosen by a hash of doc_id; over MAX_LANGUAGES languages share what so many would get, at least one
+code points, chosen by a hash of doc_id, or LONG of its shortest where all of a language are longer; over MAX_LANGUAGES languages share what so many would get, at least one
 text each, so none is left out. Scoring is over whole texts, in batches: one flag for each gram a
 text holds, times a matrix that folds the landmark kernels and the ridge weights together.
 
@@ -24,6 +24,8 @@ from terralith.llm.common import small_batches, table
 
 #: Bounds of the training sample: texts a language, code points a text, and languages that get so many texts.
 PER_LANGUAGE, TRAIN_CHARS, MAX_LANGUAGES = 300, 20_000, 500
+#: Texts of a language that has longer ones only.
+LONG = 8
 LANDMARKS = 60
 #: Rows are drawn by a hash below this, so that a share of any number of rows can be told.
 DRAWS = 10**15
@@ -124,18 +126,26 @@ def threshold(rows: int, per_language: int) -> int:
     return min(DRAWS, -(-(3 * per_language + 40) * DRAWS // (2 * rows)))
 
 
+def shortest(long: DataFrame) -> DataFrame:
+    """lang, text of the shortest text in each of LONG classes of every language, by the texts' hash."""
+    keyed = long.select("lang", "text", F.char_length("text").alias("chars"), F.xxhash64("text").alias("h"))
+    least = keyed.groupBy("lang", F.pmod("h", F.lit(LONG)).alias("class")).agg(F.min(F.struct("chars", "h")).alias("s")).select("lang", "s.*")
+    return keyed.join(F.broadcast(least), ["lang", "chars", "h"]).dropDuplicates(["lang", "chars", "h"]).select("lang", "text")
+
+
 def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
     """Texts and languages of the training sample, the same in every run; labelled: doc_id, text, lang."""
-    sound = labelled.where(F.col("lang").isNotNull() & (F.char_length("text") <= TRAIN_CHARS) & F.col("text").rlike(r"\p{L}"))
-    sizes = {r["lang"]: r["n"] for r in sound.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    lettered = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    few = F.char_length("text") <= TRAIN_CHARS
+    sizes = {r["lang"]: r["n"] for r in lettered.groupBy("lang").agg(F.count_if(few).alias("n")).collect()}
     if not sizes:
         return [], []
     per_language = share_out(per_language, len(sizes))
     part = lambda seed, below: F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), F.lit(below))
     draw = part("language", 1_000_000) * F.lit(DRAWS // 1_000_000) + part("language-2", DRAWS // 1_000_000)
-    shares = labelled.sparkSession.createDataFrame([(k, threshold(n, per_language)) for k, n in sizes.items()], "lang string, below long")
+    shares = labelled.sparkSession.createDataFrame([(k, threshold(max(1, n), per_language)) for k, n in sizes.items()], "lang string, below long")
     # about 1.5 x per_language + 20 texts a language come to the driver, and no more than twice as many
-    rows = sound.select("lang", "text", draw.alias("d"), F.xxhash64("text").alias("h")).join(F.broadcast(shares), "lang").where("d < below").drop("below")
+    rows = lettered.where(few).select("lang", "text", draw.alias("d"), F.xxhash64("text").alias("h")).join(F.broadcast(shares), "lang").where("d < below").drop("below")
     # rows of one doc_id share a draw: where these are many, the least by draw and text come, the same in every run
     rows = rows.orderBy("d", "h", "lang").limit((3 * per_language + 40) * len(sizes) + 1000).collect()
     out, taken = [], {}
@@ -143,6 +153,9 @@ def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[
         if taken.setdefault(r["lang"], 0) < per_language:
             taken[r["lang"]] += 1
             out.append((r["text"], r["lang"]))
+    none = [k for k, n in sizes.items() if n == 0]
+    if none:
+        out += sorted((r["text"], r["lang"]) for r in shortest(lettered.where(F.col("lang").isin(none))).collect())
     return [t for t, _ in out], [g for _, g in out]
 
 
