@@ -6,10 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once: a lambda that names an expression evaluates it anew each time."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _edges(ring: Column, term) -> Column:
     """term(a, b) of every edge, the closing one included."""
-    ahead = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
-    return F.zip_with(ring, ahead, term)
+    ahead = lambda r: F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1))
+    return let(ring, lambda r: F.zip_with(r, ahead(r), term))
 
 
 def _total(values: Column) -> Column:
@@ -18,8 +23,12 @@ def _total(values: Column) -> Column:
 
 def signed_area(ring: Column) -> Column:
     """Shoelace formula about the first vertex, which keeps large coordinates exact; positive if counterclockwise."""
-    o = ring[0]
-    return _total(_edges(ring, lambda a, b: (a["x"] - o["x"]) * (b["y"] - o["y"]) - (b["x"] - o["x"]) * (a["y"] - o["y"]))) / 2
+
+    def shoelace(ring):
+        o = ring[0]
+        return _total(_edges(ring, lambda a, b: (a["x"] - o["x"]) * (b["y"] - o["y"]) - (b["x"] - o["x"]) * (a["y"] - o["y"]))) / 2
+
+    return let(ring, shoelace)
 
 
 def area(ring: Column) -> Column:
@@ -32,16 +41,19 @@ def perimeter(ring: Column) -> Column:
 
 def centroid(ring: Column) -> Column:
     """Area-weighted; may lie outside a ring that isn't convex."""
-    o = ring[0]
-    cross = lambda a, b: (a["x"] - o["x"]) * (b["y"] - o["y"]) - (b["x"] - o["x"]) * (a["y"] - o["y"])
-    six = 6 * signed_area(ring)
-    along = lambda c: o[c] + _total(_edges(ring, lambda a, b: (a[c] + b[c] - 2 * o[c]) * cross(a, b))) / six
-    return F.struct(along("x").alias("x"), along("y").alias("y"))
+
+    def middle(ring):
+        o = ring[0]
+        cross = lambda a, b: (a["x"] - o["x"]) * (b["y"] - o["y"]) - (b["x"] - o["x"]) * (a["y"] - o["y"])
+        along = lambda c, six: o[c] + _total(_edges(ring, lambda a, b: (a[c] + b[c] - 2 * o[c]) * cross(a, b))) / six
+        return let(6 * signed_area(ring), lambda six: F.struct(along("x", six).alias("x"), along("y", six).alias("y")))
+
+    return let(ring, middle)
 
 
 def compactness(ring: Column) -> Column:
     """Polsby-Popper: 1 for a disc."""
-    return 4 * 3.141592653589793 * area(ring) / (perimeter(ring) * perimeter(ring))
+    return let(ring, lambda r: 4 * 3.141592653589793 * area(r) / F.pow(perimeter(r), F.lit(2)))
 
 
 def contains(ring: Column, x: Column, y: Column) -> Column:
@@ -59,14 +71,13 @@ def segment_distance2(px: Column, py: Column, ax: Column, ay: Column, bx: Column
     dx, dy = bx - ax, by - ay
     long2 = dx * dx + dy * dy
     t = F.when(long2 == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / long2)))
-    ex, ey = ax + t * dx - px, ay + t * dy - py
-    return ex * ex + ey * ey
+    return let(t, lambda t: F.pow(ax + t * dx - px, F.lit(2)) + F.pow(ay + t * dy - py, F.lit(2)))
 
 
 def ring_distance(ring: Column, x: Column, y: Column) -> Column:
     """0 inside the ring, else the distance to its nearest edge."""
-    far = F.sqrt(F.array_min(_edges(ring, lambda a, b: segment_distance2(x, y, a["x"], a["y"], b["x"], b["y"]))))
-    return F.when(contains(ring, x, y), 0.0).otherwise(far)
+    far = lambda r: F.sqrt(F.array_min(_edges(r, lambda a, b: segment_distance2(x, y, a["x"], a["y"], b["x"], b["y"]))))
+    return let(ring, lambda r: F.when(contains(r, x, y), 0.0).otherwise(far(r)))
 
 
 def overlap(ax0, ay0, ax1, ay1, bx0, by0, bx1, by1) -> Column:
@@ -123,12 +134,14 @@ def left_of(ring: Column, sides: Column) -> Column:
         left = lambda p: (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
 
         def edge(p, q):
-            t = left(p) / (left(p) - left(q))
+            t = p["left"] / (p["left"] - q["left"])
             at = F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y"))
-            here, there = left(p) >= 0, left(q) >= 0
-            return F.when(here & there, F.array(q)).when(here, F.array(at)).when(there, F.array(at, q)).otherwise(F.slice(F.array(q), 1, 0))
+            end = F.struct(q["x"].alias("x"), q["y"].alias("y"))
+            here, there = p["left"] >= 0, q["left"] >= 0
+            return F.when(here & there, F.array(end)).when(here, F.array(at)).when(there, F.array(at, end)).otherwise(F.slice(F.array(end), 1, 0))
 
-        return F.flatten(_edges(kept, edge))
+        sided = F.transform(kept, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), left(p).alias("left")))
+        return F.flatten(_edges(sided, edge))
 
     return F.aggregate(sides, ring, cut)
 

@@ -57,44 +57,84 @@ def locate(ring: Column, x: Column, y: Column) -> Column:
     return F.when(edge, "B").when(geometry.contains(ring, x, y), "I").otherwise("E")
 
 
+def _apart(e: Column, f: Column) -> Column:
+    """The bounds of two segments share no point: most pairs of edges go no further."""
+    side = lambda c: (F.greatest(e[f"a{c}"], e[f"b{c}"]) < F.least(f[f"a{c}"], f[f"b{c}"])) | (F.greatest(f[f"a{c}"], f[f"b{c}"]) < F.least(e[f"a{c}"], e[f"b{c}"]))
+    return side("x") | side("y")
+
+
 def segments_meet(e: Column, f: Column) -> Column:
-    """Closed segments share a point."""
-    a, b = _turn(e["ax"], e["ay"], e["bx"], e["by"], f["ax"], f["ay"]), _turn(e["ax"], e["ay"], e["bx"], e["by"], f["bx"], f["by"])
-    c, d = _turn(f["ax"], f["ay"], f["bx"], f["by"], e["ax"], e["ay"]), _turn(f["ax"], f["ay"], f["bx"], f["by"], e["bx"], e["by"])
-    ends = [(f["ax"], f["ay"], e), (f["bx"], f["by"], e), (e["ax"], e["ay"], f), (e["bx"], e["by"], f)]
-    touch = F.lit(False)
-    for x, y, s in ends:
-        touch = touch | on_segment(x, y, s["ax"], s["ay"], s["bx"], s["by"])
-    return ((a * b < 0) & (c * d < 0)) | touch
+    """Closed segments share a point: with bounds that do, neither lies strictly to one side of the other."""
+    side = lambda s, t: _turn(s["ax"], s["ay"], s["bx"], s["by"], t["ax"], t["ay"]) * _turn(s["ax"], s["ay"], s["bx"], s["by"], t["bx"], t["by"])
+    return ~_apart(e, f) & (side(e, f) <= 0) & (side(f, e) <= 0)
 
 
 def intersects(a: Column, b: Column) -> Column:
     """Two rings share a point: edges meet, or one holds the other."""
-    cross = F.exists(geometry.edges(a), lambda e: F.exists(geometry.edges(b), lambda f: segments_meet(e, f)))
-    return cross | geometry.contains(a, b[0]["x"], b[0]["y"]) | geometry.contains(b, a[0]["x"], a[0]["y"])
+    cross = lambda ea, eb: F.exists(ea, lambda e: F.exists(eb, lambda f: segments_meet(e, f)))
+    edges = geometry.let(F.struct(geometry.edges(a).alias("a"), geometry.edges(b).alias("b")), lambda s: cross(s["a"], s["b"]))
+    return edges | geometry.contains(a, b[0]["x"], b[0]["y"]) | geometry.contains(b, a[0]["x"], a[0]["y"])
 
 
 def distance(a: Column, b: Column) -> Column:
     """0 where two rings share a point, else the least distance of a vertex of one and an edge of the other."""
-    to_edges = lambda p, ring: F.array_min(F.transform(geometry.edges(ring), lambda e: geometry.segment_distance2(p["x"], p["y"], e["ax"], e["ay"], e["bx"], e["by"])))
-    one = F.array_min(F.transform(a, lambda p: to_edges(p, b)))
-    two = F.array_min(F.transform(b, lambda p: to_edges(p, a)))
-    return F.when(intersects(a, b), 0.0).otherwise(F.sqrt(F.least(one, two)))
+    to_edges = lambda p, edges: F.array_min(F.transform(edges, lambda e: geometry.segment_distance2(p["x"], p["y"], e["ax"], e["ay"], e["bx"], e["by"])))
+    far = lambda ring, other: geometry.let(geometry.edges(other), lambda edges: F.array_min(F.transform(ring, lambda p: to_edges(p, edges))))
+    return F.when(intersects(a, b), 0.0).otherwise(F.sqrt(F.least(far(a, b), far(b, a))))
+
+
+def _cuts(e: Column, f: Column) -> Column:
+    """Where along e (0 to 1) the segment f crosses or touches it, both ends of a stretch in common."""
+    dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
+    at = lambda x, y: ((x - e["ax"]) * dx + (y - e["ay"]) * dy) / (dx * dx + dy * dy)
+    start, end = _turn(e["ax"], e["ay"], e["bx"], e["by"], f["ax"], f["ay"]), _turn(e["ax"], e["ay"], e["bx"], e["by"], f["bx"], f["by"])
+    share = F.when(start != end, start / F.when(start != end, start - end)).otherwise(0.0)
+    crossing = F.array(at(f["ax"] + share * (f["bx"] - f["ax"]), f["ay"] + share * (f["by"] - f["ay"])))
+    level = F.array(at(f["ax"], f["ay"]), at(f["bx"], f["by"]))
+    return F.when(~segments_meet(e, f), F.slice(crossing, 1, 0)).when(start == end, level).otherwise(crossing)
+
+
+def boundary_places(a: Column, b: Column) -> Column:
+    """Where the pieces of a's boundary between its meetings with b's lie: array of I, E, and S or O on b's boundary,
+    in the same or the opposite direction."""
+
+    def place(x, y, dx, dy, ring, edges):
+        under = F.get(F.filter(edges, lambda f: on_segment(x, y, f["ax"], f["ay"], f["bx"], f["by"])), F.lit(0))
+        same = (under["bx"] - under["ax"]) * dx + (under["by"] - under["ay"]) * dy > 0
+        return F.when(under.isNotNull(), F.when(same, "S").otherwise("O")).when(geometry.contains(ring, x, y), "I").otherwise("E")
+
+    def pieces(e, ring, edges):
+        inner = F.filter(F.flatten(F.transform(edges, lambda f: _cuts(e, f))), lambda t: (t > 0) & (t < 1))
+        ends = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), inner)))
+        dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
+        middle = lambda t: place(e["ax"] + t * dx, e["ay"] + t * dy, dx, dy, ring, edges)
+        spans = lambda ts: F.zip_with(F.slice(ts, F.lit(1), F.size(ts) - 1), F.slice(ts, F.lit(2), F.size(ts) - 1), lambda t, u: (t + u) / 2)
+        return geometry.let(ends, lambda ts: F.transform(spans(ts), middle))
+
+    both = F.struct(geometry.edges(a).alias("a"), geometry.edges(b).alias("b"), b.alias("ring"))
+    return geometry.let(both, lambda s: F.array_distinct(F.flatten(F.transform(s["a"], lambda e: pieces(e, s["ring"], s["b"])))))
+
+
+PREDICATES = ("intersects", "disjoint", "touches", "within", "contains", "overlaps", "equals")
 
 
 def relation(a: Column, b: Column) -> dict[str, Column]:
-    """Predicates of two convex counterclockwise rings, from shared area and shared points."""
-    shared, own, other = geometry.area(geometry.clip_convex(a, b)), geometry.area(a), geometry.area(b)
-    meet = intersects(a, b)
-    return {
-        "intersects": meet,
-        "disjoint": ~meet,
-        "touches": meet & (shared == 0),
-        "within": (shared == own) & (own > 0),
-        "contains": (shared == other) & (other > 0),
-        "overlaps": (shared > 0) & (shared < own) & (shared < other),
-        "equals": (shared == own) & (shared == other),
-    }
+    """The predicates of relations one by one; where several are wanted, name the struct first."""
+    return {c: relations(a, b)[c] for c in PREDICATES}
+
+
+def relations(a: Column, b: Column) -> Column:
+    """struct of the predicates of two simple counterclockwise rings, from where their boundaries lie."""
+    own = F.struct(intersects(a, b).alias("meet"), boundary_places(a, b).alias("a"), boundary_places(b, a).alias("b"))
+
+    def named(s):
+        has = lambda c, *places: F.arrays_overlap(s[c], F.array(*map(F.lit, places)))
+        inner = has("a", "I", "S") | has("b", "I")
+        within, contains = inner & ~has("a", "E", "O") & ~has("b", "I"), inner & ~has("b", "E", "O") & ~has("a", "I")
+        values = (s["meet"], ~s["meet"], s["meet"] & ~inner, within, contains, inner & ~within & ~contains, within & contains)
+        return F.struct(*[v.alias(c) for c, v in zip(PREDICATES, values, strict=True)])
+
+    return geometry.let(own, named)
 
 
 def inside_share(line: Column, ring: Column) -> Column:
@@ -119,15 +159,17 @@ def crosses(line: Column, ring: Column) -> Column:
 
 
 def is_simple(ring: Column) -> Column:
-    """No two edges that aren't neighbours meet."""
-    n = F.size(ring)
-    indexed = F.transform(geometry.edges(ring), lambda e, i: F.struct(i.alias("i"), e.alias("e")))
+    """No two edges meet but neighbours at their common vertex: these may not fold back on each other."""
 
-    def clash(p, q):
-        apart = (q["i"] > p["i"] + 1) & ~((p["i"] == 0) & (q["i"] == n - 1))
-        return apart & segments_meet(p["e"], q["e"])
+    def clash(p, q, n):
+        follows, wraps = q["i"] == p["i"] + 1, (p["i"] == 0) & (q["i"] == n - 1)
+        e, f = p["e"], q["e"]
+        ex, ey, fx, fy = e["bx"] - e["ax"], e["by"] - e["ay"], f["bx"] - f["ax"], f["by"] - f["ay"]
+        folds = (ex * fy - ey * fx == 0) & (ex * fx + ey * fy <= 0)
+        return F.when(q["i"] <= p["i"], False).when(follows | wraps, folds).otherwise(segments_meet(e, f))
 
-    return ~F.exists(indexed, lambda p: F.exists(indexed, lambda q: clash(p, q)))
+    indexed = F.transform(geometry.edges(ring), lambda e, i: F.struct(i.alias("i"), e.alias("e")))
+    return geometry.let(indexed, lambda s: ~F.exists(s, lambda p: F.exists(s, lambda q: clash(p, q, F.size(s)))))
 
 
 def untie(ring: Column) -> Column:

@@ -89,8 +89,8 @@ def de9im_matrix(spark, sf_dir):
     """Pairs of parcels by predicate. Disjoint pairs are counted, not formed."""
     p = layers.with_ring(layers.parcels(spark, sf_dir))
     m = spatial_join.pairs(p, p).where("parcel_id < r_parcel_id")
-    r = polygons.relation(F.col("ring"), F.col("r_ring"))
-    n = m.agg(*[F.count_if(r[c]).alias(f"n_{c}") for c in _RELATIONS])
+    r = m.select(polygons.relations(F.col("ring"), F.col("r_ring")).alias("is"))
+    n = r.agg(*[F.count_if(f"is.{c}").alias(f"n_{c}") for c in _RELATIONS])
     whole = p.agg(F.count("*").alias("n"))
     return n.join(F.broadcast(whole)).select(*n.columns, (F.expr("n * (n - 1) div 2") - F.col("n_intersects")).alias("n_disjoint"))
 
