@@ -94,3 +94,10 @@ def simplify(line: Column, tolerance: float) -> Column:
         return pd.Series(made, dtype=object)
 
     return run(F.transform(line, lambda p: p["x"]), F.transform(line, lambda p: p["y"]))
+
+
+def simplified_ring(ring: Column, tolerance: float) -> Column:
+    """A ring thinned by Douglas-Peucker as the closed line from its first vertex; fewer than three vertices stay as they were."""
+    at = simplify(F.concat(ring, F.slice(ring, 1, 1)), tolerance)
+    kept = lambda at: F.transform(F.filter(at, lambda i: i < F.size(ring)), lambda i: F.get(ring, i))
+    return F.when(F.size(at) > 3, kept(at)).otherwise(ring)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terralith.operators import graph
+from terralith.functions import geometry
+from terralith.operators import arrangement, graph
 
 
 def neighbours(cells: DataFrame, reach: int = 1) -> DataFrame:
@@ -114,6 +115,37 @@ def outline_edges(cells: DataFrame, region: str) -> DataFrame:
     return each.where("m = 1").select(region, "s.*")
 
 
+def region_edges(cells: DataFrame, region: str) -> DataFrame:
+    """g (the region), x0, y0, x1, y1: sides of cells between a region and anything else, the region on their left;
+    x counts columns, y rows upwards from the top edge."""
+    corner = lambda dx, dy: ((F.col("col") + dx).cast("long"), (dy - F.col("row")).cast("long"))
+    walk = [corner(0, -1), corner(1, -1), corner(1, 0), corner(0, 0)]
+    side = lambda a, b, flip: F.struct(a[0].alias("x0"), a[1].alias("y0"), b[0].alias("x1"), b[1].alias("y1"), F.lit(flip).alias("flip"))
+    # a side shared by two cells is named the same way by both
+    sides = F.array(*[side(*((a, b) if k < 2 else (b, a)), k >= 2) for k, (a, b) in enumerate(zip(walk, walk[1:] + walk[:1], strict=True))])
+    each = cells.select(F.col(region).alias("g"), F.explode(sides).alias("s"))
+    edges = each.groupBy("g", "s.x0", "s.y0", "s.x1", "s.y1").agg(F.count("*").alias("m"), F.max("s.flip").alias("flip")).where("m = 1")
+    ends = [F.when(F.col("flip"), F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("x0", "x1"), ("y0", "y1"), ("x1", "x0"), ("y1", "y0"))]
+    return edges.select("g", *ends)
+
+
+def regions(cells: DataFrame, region: str, size: float) -> DataFrame:
+    """region, shell, holes (vertices in metres from the upper left corner) of all regions of cells."""
+    found = arrangement.rings(region_edges(cells, region), size)
+    return arrangement.assembled(found.withColumn("ring", arrangement.straightened(F.col("ring"))), size).withColumnRenamed("g", region)
+
+
+def burned(polygons: DataFrame, key: str, size: float) -> DataFrame:
+    """key, row, col of the cells of a grid whose centres lie in polygons (shell, holes)."""
+    xs, ys = F.transform("shell", lambda p: p["x"]), F.transform("shell", lambda p: p["y"])
+    span = lambda low, high: F.sequence(F.floor(low / size).cast("long"), F.ceil(high / size).cast("long"))
+    at = polygons.select(key, "shell", "holes", F.explode(span(F.array_min(xs), F.array_max(xs))).alias("col"), ys.alias("ys"))
+    at = at.select(key, "shell", "holes", "col", F.explode(span(-F.array_max("ys"), -F.array_min("ys"))).alias("row"))
+    x, y = (F.col("col") + 0.5) * size, -(F.col("row") + 0.5) * size
+    inside = geometry.contains(F.col("shell"), x, y) & ~F.exists("holes", lambda h: geometry.contains(h, x, y))
+    return at.where(inside).select(key, "row", "col")
+
+
 def window(cells: DataFrame, row: int, col: int, rows: int, columns: int, left: float, top: float, size: float) -> DataFrame:
     """The cells of a window, numbered from its own corner, with the corner of each cell."""
     inside = F.col("row").between(row, row + rows - 1) & F.col("col").between(col, col + columns - 1)
