@@ -42,3 +42,20 @@ def run_stored(spark: SparkSession, path: str, schema, build=tumbling) -> DataFr
     q = build(events).writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{out}/rows")
+
+
+def run_in_turn(spark: SparkSession, batches: list[DataFrame], build=tumbling) -> DataFrame:
+    """Feeds batches of events one after the other to a stream that is stopped and resumed between them: its watermark
+    and windows outlive it, and rows of windows that have closed are dropped."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-stream-")
+    out = f"{base.rstrip('/')}/terralith/stream-{uuid.uuid4().hex}"
+    for batch in batches:
+        batch.write.mode("append").parquet(f"{out}/in")
+        events = spark.readStream.schema(batch.schema).parquet(f"{out}/in")
+        q = build(events).writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
