@@ -16,8 +16,8 @@ def standardised(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _nearest(columns: list[str], centres: list[tuple]) -> Column:
-    """struct<d, c>: squared distance and number of the nearest centre, the lesser number of equals."""
-    gaps = [F.struct(sum((F.pow(F.col(z) - F.lit(float(v)), F.lit(2)) for z, v in zip(columns, centre, strict=True)), F.lit(0.0)).alias("d"), F.lit(c).alias("c")) for c, centre in enumerate(centres)]
+    """struct<d, c>: squared distance and number of the nearest centre, the lesser number of those equal to nine digits."""
+    gaps = [F.struct(F.round(sum((F.pow(F.col(z) - F.lit(float(v)), F.lit(2)) for z, v in zip(columns, centre, strict=True)), F.lit(0.0)), 9).alias("d"), F.lit(c).alias("c")) for c, centre in enumerate(centres)]
     return F.array_min(F.array(*gaps))
 
 

@@ -98,7 +98,7 @@ ROUNDS = 12
 _KS = range(2, 9)
 _Z = f"{fx.with_layers('cells')}, z AS MATERIALIZED (SELECT CAST(row AS BIGINT) * 48 + col AS cell, row, col, (value - avg(value) OVER ()) / stddev_pop(value) OVER () AS zv, (n - avg(n) OVER ()) / stddev_pop(n) OVER () AS zn FROM cells)"
 _START = " UNION ALL ".join(f"SELECT {k} AS k, 0 AS step, {c} AS c, (SELECT quantile_cont(zv, {(c + 0.5) / k}) FROM z) AS mv, (SELECT quantile_cont(zn, {(c + 0.5) / k}) FROM z) AS mn" for k in _KS for c in range(k))
-_PICK = "SELECT k, step, cell, zv, zn, arg_min(c, (power(zv - mv, 2) + power(zn - mn, 2), c)) AS c FROM {m}, z GROUP BY k, step, cell, zv, zn"
+_PICK = "SELECT k, step, cell, zv, zn, arg_min(c, (round(power(zv - mv, 2) + power(zn - mn, 2), 9), c)) AS c FROM {m}, z GROUP BY k, step, cell, zv, zn"
 _KMEANS = f"""{_Z.replace('WITH', 'WITH RECURSIVE', 1)}, m(k, step, c, mv, mn) AS (({_START}) UNION ALL
   (WITH p AS ({_PICK.format(m='m')}) SELECT m.k, m.step + 1, m.c, coalesce(avg(zv), any_value(m.mv)), coalesce(avg(zn), any_value(m.mn)) FROM m LEFT JOIN p ON p.k = m.k AND p.c = m.c WHERE m.step < {ROUNDS} GROUP BY m.k, m.step, m.c)),
 p AS MATERIALIZED ({_PICK.format(m=f'(SELECT * FROM m WHERE step = {ROUNDS}) m')})"""
