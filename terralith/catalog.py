@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from terralith.plans import analysis, derived, inference, overlays, predictive, rasters, regressions, risk, shapes, spatial, streams, tables
+from terralith.plans import analysis, derived, exchange, inference, overlays, predictive, rasters, regressions, risk, shapes, spatial, streams, tables
 
-_MORE = (shapes.queries, rasters.queries, inference.queries, tables.queries, risk.queries, derived.queries, overlays.queries, predictive.queries, regressions.queries)
+_MORE = (shapes.queries, rasters.queries, inference.queries, tables.queries, risk.queries, derived.queries, overlays.queries, predictive.queries, regressions.queries, exchange.queries)
 
 
 def queries() -> dict:
