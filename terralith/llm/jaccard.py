@@ -114,11 +114,11 @@ def profile(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.where("bucket IS NULL").drop("bucket", "count"), both.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("count"))
 
 
-def central_pairs(nodes: DataFrame, keys: int = PERMUTATIONS, agreeing: int = AGREEING, percent: int = PERCENT) -> DataFrame:
+def central_pairs(nodes: DataFrame, keys: int = PERMUTATIONS, agreeing: int = AGREEING, percent: int = PERCENT, most: int | None = None) -> DataFrame:
     """(a, b): each node with the most central node of its buckets, one for each of its keys (column mh).
 
     A node is the more central, the larger the buckets of all its keys are. Pairs that agree in few
-    of them are left to the join.
+    of them are left to the join, as are all but the `most` central nodes (where given) with which a node agrees in most.
     """
     each = nodes.select("node", F.posexplode("mh").alias("i", "v")).select("node", F.xxhash64("i", "v").alias("bucket"))
     sizes = materialize(each.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "jaccard-buckets")
@@ -131,6 +131,9 @@ def central_pairs(nodes: DataFrame, keys: int = PERMUTATIONS, agreeing: int = AG
     best = best.select("bucket", "m", (-F.col("best.neg")).alias("a"))
     pairs = joined_by_key(kept.select("node", "bucket"), materialize(best, "jaccard-best"), "bucket", total)
     pairs = pairs.select("a", F.col("node").alias("b")).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("same")).where(F.col("same") >= agreeing)
+    if most is not None:  # a node has as many rows here as it has keys, at most
+        ranked = pairs.groupBy("b").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("same")).alias("k"), "a"))), 1, most).alias("best"))
+        pairs = ranked.select("b", F.explode("best").alias("c")).select(F.col("c.a").alias("a"), "b")
     size = nodes.select("node", "n")
     pairs = merged(pairs, size.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a")
     pairs = merged(pairs, size.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")

@@ -35,8 +35,8 @@ PERCENT = 85
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65535
-#: Bands that a node shares with a central one at least to be compared with it: at most BANDS / AGREEING pairs a node.
-AGREEING = 4
+#: Central nodes that a node is compared with: those of most of its bands. The others meet it as candidates.
+CENTRES = 4
 #: Least estimate of a pair that is compared with its hub, and of one that is verified.
 HALF, FLOOR = 0.4, 0.65
 #: Similarities among which the likeliest is sought.
@@ -158,7 +158,7 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = profile(docs)
     nodes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), *[F.any_value(c).alias(c) for c in ("n", "sketch", "mh")])
     nodes = materialize(nodes, "setsketch-nodes", "zstd")
-    central = likely(jaccard.central_pairs(nodes, BANDS, AGREEING, PERCENT), nodes, HALF)
+    central = likely(jaccard.central_pairs(nodes, BANDS, 1, PERCENT, CENTRES), nodes, HALF)
     compared = jaccard.compare(docs, materialize(central, "setsketch-central"), PERCENT)
     near, groups = compared.where("linked").select("a", "b").distinct(), jaccard.around_hubs(compared)
     labels = materialize(components(near.union(jaccard.same_document(rows, nodes))), "setsketch-components")
