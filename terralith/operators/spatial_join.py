@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terralith.operators.graph import cut
+
 
 def cell(v: Column, size: float) -> Column:
     return F.floor(v / size).cast("long")
@@ -52,9 +54,10 @@ def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, k: int
         found = join_near(todo, right, min(radius, widest)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         if radius >= widest:
             return found if done is None else done.unionByName(found)
+        found = cut(found)  # the next rounds start from these rows, not from the input
         full = found.withColumn("found", F.count("*").over(Window.partitionBy(key))).where(F.col("found") == k).drop("found")
         done = full if done is None else done.unionByName(full)
-        todo = todo.join(full.select(key).distinct(), key, "left_anti")
+        todo = cut(todo.join(full.select(key).distinct(), key, "left_anti"))
         if todo.isEmpty():
             return done
         radius *= 4

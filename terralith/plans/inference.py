@@ -50,6 +50,21 @@ def moran_permutation(spark, sf_dir):
     return s.agg(F.round(F.max("own"), 6).alias("observed"), F.round(F.avg("morans_i"), 6).alias("mean_shuffled"), r4((1 + more) / 100, "p_value"))
 
 
+@query(f"""{_VALUES}, k AS (SELECT v.zone_id, v.value, r.range AS round FROM v, range(1, 100) r),
+a AS (SELECT round, zone_id, row_number() OVER (PARTITION BY round ORDER BY zone_id) AS t FROM k), b AS (SELECT round, value, row_number() OVER (PARTITION BY round ORDER BY {_MIX}, zone_id) AS t FROM k),
+d AS (SELECT a.round, a.zone_id, b.value FROM a JOIN b USING (round, t) UNION ALL SELECT 0, zone_id, value FROM v), z AS (SELECT round, zone_id, value - avg(value) OVER (PARTITION BY round) AS z FROM d),
+l AS (SELECT x.round, e.i AS zone_id, avg(x.z) AS lag FROM e JOIN z x ON x.zone_id = e.j GROUP BY ALL),
+i AS (SELECT z.round, count(*) / count(lag) * sum(z.z * lag) / sum(z.z * z.z) AS i FROM z LEFT JOIN l USING (round, zone_id) GROUP BY z.round), o AS (SELECT i AS own FROM i WHERE round = 0)
+SELECT round(any_value(own), 6) AS observed, round((any_value(own) - avg(i)) / stddev_samp(i), 5) AS z_sim,
+  round(least(1.0, (1.0 + 2 * least(count(*) FILTER (round(i, 9) >= round(own, 9)), count(*) FILTER (round(i, 9) <= round(own, 9)))) / (count(*) + 1)), 4) AS p FROM i, o WHERE round > 0""")
+def moran_two_sided(spark, sf_dir):
+    """Moran's I with row-standardised weights against 99 dealings, two-sided, and its deviation from them."""
+    v = counts(spark, sf_dir)
+    dealt = inference.shuffled(v, 99).unionByName(v.select(F.lit(0).alias("round"), "zone_id", "value"))
+    p = inference.permutation_p(inference.standardised_moran_by_round(dealt, contiguity(spark, sf_dir)))
+    return p.select(F.round("observed", 6).alias("observed"), F.round("z_sim", 5).alias("z_sim"), F.round("p", 4).alias("p"))
+
+
 _Z = "z AS (SELECT zone_id, (value - avg(value) OVER ()) / stddev_pop(value) OVER () AS z FROM v), l AS (SELECT z.zone_id, z.z, avg(y.z) AS lag_z FROM z JOIN e ON e.i = z.zone_id JOIN z y ON y.zone_id = e.j GROUP BY ALL)"
 
 

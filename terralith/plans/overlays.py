@@ -29,6 +29,20 @@ def overlay_union(spark, sf_dir):
     return u.select("plot_id", "yard_id", F.round("area", 3).alias("area"))
 
 
+_CORNERS = "unnest([i, i, i + 1, i + 1]) AS x, unnest([j, j + 1, j, j + 1]) AS y"
+
+
+@query(f"""{_with('plots_cells', 'yards_cells')}, p AS (SELECT DISTINCT plot_id, {_CORNERS} FROM plots_cells WHERE plot_id % 4 <> 1), y AS (SELECT DISTINCT yard_id, {_CORNERS} FROM yards_cells WHERE yard_id % 3 <> 0),
+m AS (SELECT DISTINCT plot_id, yard_id FROM p JOIN y USING (x, y)), s AS (SELECT plot_id, yard_id, count(*) AS n FROM plots_cells JOIN yards_cells USING (i, j) GROUP BY ALL)
+SELECT m.plot_id, m.yard_id, s.n IS NULL AS touches, coalesce(s.n = c.n, FALSE) AS within, coalesce(s.n < c.n, FALSE) AS overlaps FROM m LEFT JOIN s USING (plot_id, yard_id) JOIN (SELECT plot_id, count(*) AS n FROM plots_cells GROUP BY 1) c USING (plot_id)""")
+def notched_relations(spark, sf_dir):
+    """Plots and yards with notches (none with holes) that meet, and how: bounds alone don't tell."""
+    one = lambda d, key, n, k: d.where(F.col(key) % n != k).select(key, "xmin", "ymin", "xmax", "ymax", F.col("parts")[0]["shell"].alias("ring"))
+    m = spatial_join.pairs(one(layers.plots(spark, sf_dir), "plot_id", 4, 1), one(layers.yards(spark, sf_dir), "yard_id", 3, 0))
+    r = m.select("plot_id", F.col("r_yard_id").alias("yard_id"), polygons.relations(F.col("ring"), F.col("r_ring")).alias("is")).where("is.intersects")
+    return r.select("plot_id", "yard_id", "is.touches", "is.within", "is.overlaps")
+
+
 @query(f"""{_with('plots_cells', 'yards_cells')}, a AS (SELECT plot_id, count(*) AS n FROM plots_cells GROUP BY 1), b AS (SELECT yard_id, count(*) AS n FROM yards_cells GROUP BY 1),
 p AS (SELECT count(*) AS n, count(DISTINCT i * 1000000 + j) AS d FROM plots_cells WHERE (i, j) IN (SELECT (i, j) FROM yards_cells)),
 l AS (SELECT count(*) AS n FROM plots_cells), r AS (SELECT count(*) AS n FROM yards_cells WHERE (i, j) NOT IN (SELECT (i, j) FROM plots_cells))

@@ -173,6 +173,20 @@ def polygonize_patches(spark, sf_dir):
     return n.select("patch", "n_cells", "n_edges", (F.col("n_edges") * 1000.0).alias("perimeter_m"))
 
 
+@query(f"""{_with('cells').replace('WITH', 'WITH RECURSIVE', 1)}, t AS (SELECT quantile_cont(value, 0.6) AS t FROM cells), h AS (SELECT CAST(row AS BIGINT) * 48 + col AS node, row, col, value FROM cells, t WHERE value > t),
+e AS (SELECT a.node AS a, b.node AS b FROM h a JOIN h b ON abs(a.row - b.row) + abs(a.col - b.col) = 1), r(node, label) AS (SELECT node, node FROM h UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.node),
+l AS (SELECT node, min(label) AS patch FROM r GROUP BY node)
+SELECT patch, count(*) AS n_cells, round(avg(value), 4) AS mean_value, row_number() OVER (ORDER BY count(*) DESC, patch) AS place FROM l JOIN h USING (node) GROUP BY patch HAVING count(*) >= 3 ORDER BY place LIMIT 10""")
+def best_patches(spark, sf_dir):
+    """The ten largest connected regions of cells above the 60 % quantile."""
+    c = fx.cells(spark, sf_dir)
+    limit = c.agg(F.percentile("value", F.lit(0.6)).alias("t"))
+    p = raster.patches(c.join(F.broadcast(limit)).where("value > t").drop("t"), 48)
+    g = p.groupBy("patch").agg(F.count("*").alias("n_cells"), r4(F.avg("value"), "mean_value")).where("n_cells >= 3")
+    top = g.orderBy(F.desc("n_cells"), "patch").limit(10)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_cells"), "patch")).cast("bigint"))
+
+
 @query(f"""{_with('cells')} SELECT min(row) AS row0, max(row) AS row1, min(col) AS col0, max(col) AS col1, count(*) AS n_valid, 48 * 36 - count(*) AS n_nodata, min(value) AS low, max(value) AS high, round(avg(value), 4) AS mean FROM cells""")
 def raster_metadata(spark, sf_dir):
     """Extent, cells with and without data, range."""

@@ -41,6 +41,17 @@ def distinct_parcels(spark, sf_dir):
     return contracts.distinct_shapes(p.withColumn("ring", mixed), "ring", "parcel_id").select("parcel_id", "copies")
 
 
+@query(f"{_with('parcels')}, r AS (SELECT a.parcel_id, b.xmin, b.ymin, b.xmax, b.ymax FROM parcels a JOIN parcels b ON b.parcel_id = a.parcel_id - a.parcel_id % 3) SELECT min(parcel_id) AS parcel_id, count(*) AS copies FROM r GROUP BY xmin, ymin, xmax, ymax")
+def repeated_parcels(spark, sf_dir):
+    """Parcels drawn three times, each time from another vertex or the other way around, are one."""
+    p = layers.with_ring(layers.parcels(spark, sf_dir))
+    shape = p.where("parcel_id % 3 = 0").select(F.col("parcel_id").alias("of"), "ring")
+    each = p.select("parcel_id", (F.col("parcel_id") - F.col("parcel_id") % 3).alias("of")).join(shape, "of")
+    turned = F.concat(F.slice("ring", 3, 2), F.slice("ring", 1, 2))
+    mixed = F.when(F.col("parcel_id") % 3 == 0, turned).when(F.col("parcel_id") % 3 == 1, F.reverse("ring")).otherwise(F.col("ring"))
+    return contracts.distinct_shapes(each.withColumn("ring", mixed), "ring", "parcel_id").select("parcel_id", "copies")
+
+
 @query("SELECT 'LU' || lpad(CAST(row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS VARCHAR), 9, '0') AS id, p_partkey FROM part")
 def surrogate_ids(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")

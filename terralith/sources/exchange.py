@@ -23,7 +23,7 @@ from pyspark.sql.types import StructType
 RING = "array<struct<x:double,y:double>>"
 PARTS = f"array<struct<shell:{RING},holes:array<{RING}>>>"
 #: Records of a shapefile that one task reads.
-RECORDS = 50_000
+RECORDS = 10_000
 
 
 def _open(path: str):
@@ -201,15 +201,18 @@ class ShapefileReader(DataSourceReader):
         store, _ = _open(self.path)
         index = struct.unpack(f">{2 * (part.stop - part.start)}i", _bytes(store, part.name + ".shx", 100 + 8 * part.start, 8 * (part.stop - part.start)))
         top, width, fields = _dbf(*_dbf_head(part.name + ".dbf", self.path))
-        with store.open_input_file(part.name + ".shp") as shapes, store.open_input_file(part.name + ".dbf") as rows:
-            for k in range(part.stop - part.start):
-                record = shapes.read_at(2 * index[2 * k + 1], 2 * index[2 * k] + 8)
-                raw, at, row = rows.read_at(width, top + width * (part.start + k)), 1, {}
-                for name, letter, size, decimals in fields:
-                    row[name] = _value(raw[at : at + size], letter, decimals)
-                    at += size
-                row["parts"] = shape_parts(record)
-                yield tuple(row.get(c) for c in self.columns)
+        n, first = part.stop - part.start, 2 * index[0]
+        # the records of a range lie one after the other
+        shapes = _bytes(store, part.name + ".shp", first, 2 * index[-2] + 8 + 2 * index[-1] - first)
+        rows = _bytes(store, part.name + ".dbf", top + width * part.start, width * n)
+        for k in range(n):
+            at = 2 * index[2 * k] + 8 - first
+            row, raw = {"parts": shape_parts(shapes[at : at + 2 * index[2 * k + 1]])}, rows[width * k : width * (k + 1)]
+            at = 1
+            for name, letter, size, decimals in fields:
+                row[name] = _value(raw[at : at + size], letter, decimals)
+                at += size
+            yield tuple(row.get(c) for c in self.columns)
 
 
 class ShapefileWriter(DataSourceWriter):
