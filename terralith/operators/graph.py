@@ -22,13 +22,16 @@ def cut(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) of every node with an edge (a, b).
 
-    A round takes the least label around each node, then that label's own, so that chains halve.
+    In a round a node takes the least label around it, and so does the node that its label names: whole trees hook
+    onto smaller ones at once. Labels then jump to their own labels, so that long chains take few rounds.
     """
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c"))
+    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")))
     while True:
         near = both.join(labels.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
-        hooked = cut(labels.join(near, "a").select("a", F.least("c", "m").alias("c"), F.col("c").alias("before")))
+        seen = cut(labels.join(near, "a"))
+        roots = seen.groupBy(F.col("c").alias("a")).agg(F.min("m").alias("h"))
+        hooked = cut(seen.join(roots, "a", "left").select("a", F.least("c", "m", "h").alias("c"), F.col("c").alias("before")))
         up = hooked.select(F.col("a").alias("k"), F.col("c").alias("up"))
         step = cut(hooked.join(up, F.col("c") == F.col("k")).select("a", F.col("up").alias("c"), (F.col("up") != F.col("before")).alias("moved")))
         labels = step.select("a", "c")
