@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terralith.functions import polygons
+from terralith.functions import crs, polygons
 from terralith.plans.registry import Registry
 from terralith.sources import exchange, formats, layers
 from terralith.sources import fixtures as fx
@@ -45,3 +45,21 @@ def raster_window(spark, sf_dir):
     exchange.write_rasters(fx.cells(spark, sf_dir), ["value", "n"], path, fx.X0, fx.Y0 + fx.HEIGHT, 1000.0)
     w = exchange.read_rasters(spark, path, fx.X0, fx.Y0 + fx.HEIGHT, 1000.0, [1], (10, 20, 5, 30))
     return w.agg(F.count("*").alias("n_cells"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most"))
+
+
+@query(f"""{_with('plots_cells')} SELECT plot_id, CASE WHEN plot_id % 5 = 0 THEN NULL ELSE 'n' || plot_id END AS name, CAST(count(*) * {layers.UNIT**2} AS DOUBLE) AS area, CAST(CASE WHEN plot_id % 4 = 1 THEN 1 ELSE 0 END AS INTEGER) AS n_holes FROM plots_cells GROUP BY plot_id""")
+def geojson_degrees(spark, sf_dir):
+    """Plots through standard GeoJSON in degrees, and back into metres."""
+    path = formats.scratch(spark, "collections")
+    p = layers.plots(spark, sf_dir).selectExpr("plot_id", "CASE WHEN plot_id % 5 <> 0 THEN concat('n', plot_id) END AS name", "parts")
+    formats.write_feature_collections(p, "parts", ["plot_id", "name"], path, 15.0)
+    back = formats.read_feature_collections(spark, path, "plot_id:bigint,name:string")
+    metres = lambda r: F.transform(r, lambda q: _metres(q))
+    parts = F.transform("parts", lambda s: F.struct(metres(s["shell"]).alias("shell"), F.transform(s["holes"], metres).alias("holes")))
+    holes = F.aggregate("parts", F.lit(0), lambda n, s: n + F.size(s["holes"]))
+    return back.select("plot_id", "name", F.round(polygons.area(parts), 0).alias("area"), holes.alias("n_holes"))
+
+
+def _metres(q):
+    x, y = crs.utm(q["x"], q["y"], 15.0)
+    return F.struct(x.alias("x"), y.alias("y"))

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terralith.functions import crs, geometry
 from terralith.functions.polygons import bounds
 
 
@@ -45,6 +46,52 @@ def read_geojson(spark: SparkSession, path: str, properties: dict[str, str]) ->
     return f.select(*[F.col("properties")[c].cast(t).alias(c) for c, t in properties.items()], ring.alias("ring"))
 
 
+# ---------------------------------------------------------------- GeoJSON in degrees, FeatureCollections
+
+
+def _in_degrees(ring: Column, central: float) -> Column:
+    """A closed ring of [longitude, latitude] of vertices in metres of a UTM zone."""
+    point = lambda lon, lat: F.array(F.round(lon, 12), F.round(lat, 12))
+    return F.transform(F.concat(ring, F.slice(ring, 1, 1)), lambda p: point(*crs.utm_inverse(p["x"], p["y"], central)))
+
+
+def write_feature_collections(layer: DataFrame, parts: str, properties: list[str], path: str, central: float) -> None:
+    """Standard GeoJSON: longitudes and latitudes, shells counterclockwise and holes clockwise, each task's file a FeatureCollection
+    of its own. A polygon without parts has a null geometry."""
+    turned = lambda r, left: F.when((geometry.signed_area(r) > 0) == F.lit(left), r).otherwise(F.reverse(r))
+    rings = lambda s: F.concat(F.array(turned(s["shell"], True)), F.transform(s["holes"], lambda h: turned(h, False)))
+    polygons_ = F.transform(parts, lambda s: F.transform(rings(s), lambda r: _in_degrees(r, central)))
+    shape = F.when(F.size(parts) == 1, F.to_json(F.struct(F.lit("Polygon").alias("type"), polygons_[0].alias("coordinates")))).when(F.size(parts) > 1, F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), polygons_.alias("coordinates"))))
+    names = F.to_json(F.struct(*properties), {"ignoreNullFields": "false"})
+    lines = layer.select(F.concat(F.lit('{"type":"Feature","properties":'), names, F.lit(',"geometry":'), F.coalesce(shape, F.lit("null")), F.lit("}")).alias("value"))
+
+    def wrap(batches):
+        import pyarrow as pa
+
+        begun = False
+        for batch in batches:
+            values = [("," if begun or k else '{"type":"FeatureCollection","features":[\n') + v for k, v in enumerate(batch.column(0).to_pylist())]
+            begun = begun or bool(values)
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.string())], ["value"])
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array(["]}"])], ["value"])
+
+    lines.mapInArrow(wrap, "value string").write.text(path)
+
+
+def read_feature_collections(spark: SparkSession, path: str, properties: str) -> DataFrame:
+    """Properties as declared and parts in degrees of all FeatureCollections of a folder. The format has no places to split
+    at, so a file is read by one task; a layer is to be many files."""
+    ring = "array<array<array<double>>>"
+    f = spark.read.schema(f"features array<struct<properties:struct<{properties}>,geometry:struct<type:string,coordinates:string>>>").option("multiLine", True).json(path)
+    f = f.select(F.explode("features").alias("f")).select("f.properties.*", F.col("f.geometry").alias("g"))
+    many = F.from_json("g.coordinates", f"array<{ring}>")
+    shapes = F.when(F.col("g.type") == "Polygon", F.array(F.from_json("g.coordinates", ring))).when(F.col("g.type") == "MultiPolygon", many)
+    opened = lambda r: F.transform(F.slice(r, F.lit(1), F.size(r) - 1), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    part = lambda rings: F.struct(opened(rings[0]).alias("shell"), F.transform(F.slice(rings, F.lit(2), F.size(rings)), opened).alias("holes"))
+    return f.withColumn("parts", F.coalesce(F.transform(shapes, part), F.array().cast("array<struct<shell:array<struct<x:double,y:double>>,holes:array<array<struct<x:double,y:double>>>>>"))).drop("g")
+
+
 # ---------------------------------------------------------------- WKB
 
 
