@@ -209,10 +209,16 @@ def verify(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFra
     return compare(docs, pairs, percent).where("linked").select("a", "b").distinct()
 
 
-def around_hubs(compared: DataFrame) -> DataFrame:
-    """hub, node, s1, n, delta: every node with the central node it is most like, and these themselves."""
+def around_hubs(compared: DataFrame, popular: bool = False) -> DataFrame:
+    """hub, node, s1, n, delta: every node with the central node it is most like, or (popular) with that which most nodes
+    were found like, so that a group of copies has one hub and not several; and these themselves."""
     known = compared.where("delta IS NOT NULL")
-    best = known.groupBy("b", "s1").agg(F.min_by(F.struct("a", "n", "delta"), F.struct(F.size("delta"), "a")).alias("at"))
+    if popular:
+        degree = materialize(known.groupBy("a").agg(F.count("*").alias("m")), "jaccard-degrees")
+        known = joined_by_key(known, degree, "a", known.count()).withColumn("first", -F.col("m"))
+    else:
+        known = known.withColumn("first", F.size("delta"))
+    best = known.groupBy("b", "s1").agg(F.min_by(F.struct("a", "n", "delta"), F.struct("first", "a")).alias("at"))
     best = best.select(F.col("at.a").alias("hub"), F.col("b").alias("node"), "s1", F.col("at.n").alias("n"), F.col("at.delta").alias("delta"))
     hubs = best.select(F.col("hub").alias("node")).distinct()
     return materialize(best.join(hubs, "node", "left_anti").select("hub", "node", "s1", "n", "delta"), "jaccard-hubs")

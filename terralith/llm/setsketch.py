@@ -160,7 +160,7 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = materialize(nodes, "setsketch-nodes", "zstd")
     central = likely(jaccard.central_pairs(nodes, BANDS, 1, PERCENT, CENTRES), nodes, HALF)
     compared = jaccard.compare(docs, materialize(central, "setsketch-central"), PERCENT)
-    near, groups = compared.where("linked").select("a", "b").distinct(), jaccard.around_hubs(compared)
+    near, groups = compared.where("linked").select("a", "b").distinct(), jaccard.around_hubs(compared, popular=True)
     labels = materialize(components(near.union(jaccard.same_document(rows, nodes))), "setsketch-components")
     found = jaccard.verify(docs, materialize(candidates(nodes, labels, groups), "setsketch-pairs"), PERCENT)
     out = jaccard.joint_classes(rows, labels, found.union(jaccard.difference_links(groups, labels, PERCENT)))
