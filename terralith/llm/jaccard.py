@@ -133,7 +133,7 @@ def central_pairs(nodes: DataFrame, keys: int = PERMUTATIONS, agreeing: int = AG
     pairs = pairs.select("a", F.col("node").alias("b")).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("same")).where(F.col("same") >= agreeing)
     if most is not None:  # a node has as many rows here as it has keys, at most
         ranked = pairs.groupBy("b").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("same")).alias("k"), "a"))), 1, most).alias("best"))
-        pairs = ranked.select("b", F.explode("best").alias("c")).select(F.col("c.a").alias("a"), "b")
+        return ranked.select("b", F.explode("best").alias("c")).select(F.col("c.a").alias("a"), "b")  # sizes are the caller's to compare
     size = nodes.select("node", "n")
     pairs = merged(pairs, size.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a")
     pairs = merged(pairs, size.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")

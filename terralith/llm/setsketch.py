@@ -127,6 +127,7 @@ def likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """Those of pairs (a, b) whose sketches put them at least as near; a node with several sets counts by any of them."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     both = merged(merged(pairs, side("a"), "a"), side("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+    both = both.where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
 
     def test(batches):
         import pyarrow as pa
