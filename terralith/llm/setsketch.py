@@ -6,7 +6,7 @@ of a union are the greater ones of both (merge), and two sets agree in a registe
 shingles.
 
 1. Equal sets become one node. Nodes meet where all registers of a band are equal.
-2. Each node is first compared with the most central node of its buckets, so that large groups of near copies never
+2. Each node is first compared with the most central node of its buckets, by short bands, so that large groups of near copies never
    make all pairs; what links is one component. Nodes of one such hub are decided by their differences from it.
 3. Nodes of different components and hubs that share a bucket are candidates. Their similarity is estimated by maximum
    likelihood over the three counts of registers (greater, equal, less) and both exact sizes; what is likely to
@@ -31,8 +31,10 @@ from terralith.llm.common import chunks, joined_by_key, materialize, merged, mix
 from terralith.llm.graph import components
 
 PERCENT = 85
-#: Registers (a power of two), their bands, base and rate of the scale, and its greatest value.
+#: Registers (a power of two); bands and rows of those that make candidates; base and rate of the scale, and its greatest value.
 REGISTERS, BANDS, ROWS = 512, 64, 8
+#: Short bands, of the first registers: nodes half alike meet in them, and so find a common central node.
+SHORT_BANDS, SHORT_ROWS = 32, 4
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Central nodes that a node is compared with: those of most of its bands. The others meet it as candidates.
 CENTRES = 4
@@ -74,11 +76,11 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def bands(registers: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of each sketch."""
-    parts = registers.reshape(len(registers), BANDS, ROWS).astype(np.uint64)
-    out = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), (len(registers), BANDS))
-    for k in range(ROWS):
+def bands(registers: np.ndarray, many: int, rows: int) -> np.ndarray:
+    """A 64-bit key for each of many bands of rows registers of each sketch."""
+    parts = registers[:, : many * rows].reshape(len(registers), many, rows).astype(np.uint64)
+    out = np.broadcast_to(mix(np.arange(1, many + 1, dtype=np.uint64)), (len(registers), many))
+    for k in range(rows):
         out = mix(out * np.uint64(0x9FB21C651E98DF25) + parts[:, :, k])
     return out
 
@@ -98,7 +100,7 @@ def similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndar
 def _profile(batches):
     import pyarrow as pa
 
-    names = ["doc_id", "n", "s1", "s2", "sketch", "mh"]
+    names = ["doc_id", "n", "s1", "s2", "sketch", "mh", "keys"]
     for batch in batches:
         data, offsets = utf8_column(batch.column("text"))
         for a, b in chunks(offsets):
@@ -109,17 +111,19 @@ def _profile(batches):
             found = sketches(np.concatenate(sets), np.cumsum([0, *size]))
             s1 = np.array([np.bitwise_xor.reduce(mix(s)) if len(s) else 0 for s in sets], np.uint64)
             s2 = np.array([np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))) if len(s) else 0 for s in sets], np.uint64)
-            keys = bands(found).reshape(-1).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS), pa.int32()), pa.array(keys))
-            rows = [batch.column("doc_id").slice(a, b - a), pa.array(size), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array([r.tobytes() for r in found], pa.binary()), lists]
+            lists = []
+            for many, length in ((SHORT_BANDS, SHORT_ROWS), (BANDS, ROWS)):
+                keys = bands(found, many, length).reshape(-1).view(np.int64)
+                lists.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, many), pa.int32()), pa.array(keys)))
+            rows = [batch.column("doc_id").slice(a, b - a), pa.array(size), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array([r.tobytes() for r in found], pa.binary()), *lists]
             yield pa.RecordBatch.from_arrays(rows, names)
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """doc_id, n, s1, s2 (128 bits that name the set), sketch, mh (the bands' keys) of every row."""
+    """doc_id, n, s1, s2 (128 bits that name the set), sketch, mh and keys (of short bands and of bands) of every row."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return materialize(rows.mapInArrow(_profile, "doc_id bigint, n bigint, s1 bigint, s2 bigint, sketch binary, mh array<bigint>"), "setsketch-profile")
+    return materialize(rows.mapInArrow(_profile, "doc_id bigint, n bigint, s1 bigint, s2 bigint, sketch binary, mh array<bigint>, keys array<bigint>"), "setsketch-profile")
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -142,8 +146,8 @@ def likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 def candidates(nodes: DataFrame, labels: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes of different components and hubs that share a bucket and are likely near."""
-    named = merged(jaccard.placed(nodes, labels, groups), nodes.select("node", "s1", "n", "mh"), ["node", "s1"])
-    rows = materialize(named.select("node", "component", "hub", "n", F.explode("mh").alias("bucket")), "setsketch-bands", "zstd")
+    named = merged(jaccard.placed(nodes, labels, groups), nodes.select("node", "s1", "n", "keys"), ["node", "s1"])
+    rows = materialize(named.select("node", "component", "hub", "n", F.explode("keys").alias("bucket")), "setsketch-bands", "zstd")
     ends = [F.expr(f"{f}({c})").alias(f"{f}_{c}") for c in ("component", "hub") for f in ("min", "max")]
     across = rows.groupBy("bucket").agg(F.count("*").alias("m"), *ends).where("min_component <> max_component AND min_hub <> max_hub").select("bucket", "m")
     shared = joined_by_key(rows, materialize(across, "setsketch-across"), "bucket", rows.count()).drop("m")
@@ -156,9 +160,9 @@ def candidates(nodes: DataFrame, labels: DataFrame, groups: DataFrame) -> DataFr
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs."""
     rows = profile(docs)
-    nodes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), *[F.any_value(c).alias(c) for c in ("n", "sketch", "mh")])
+    nodes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), *[F.any_value(c).alias(c) for c in ("n", "sketch", "mh", "keys")])
     nodes = materialize(nodes, "setsketch-nodes", "zstd")
-    central = likely(jaccard.central_pairs(nodes, BANDS, 1, PERCENT, CENTRES), nodes, HALF)
+    central = likely(jaccard.central_pairs(nodes, SHORT_BANDS, 1, PERCENT, CENTRES), nodes, HALF)
     compared = jaccard.compare(docs, materialize(central, "setsketch-central"), PERCENT)
     near, groups = compared.where("linked").select("a", "b").distinct(), jaccard.around_hubs(compared, popular=True)
     labels = materialize(components(near.union(jaccard.same_document(rows, nodes))), "setsketch-components")
