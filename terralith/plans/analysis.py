@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terralith.functions import geometry
 from terralith.operators import graph, patterns, raster, spatial_join, statistics
-from terralith.plans.spatial import _IN, _OCTAGON, _ZONES, inside, r4
+from terralith.plans.spatial import _IN, _OCTAGON, _ZONES, in_octagon, inside, r4
 from terralith.sources import fixtures as fx
 from terralith.sources.fixtures import table, with_layers
 
@@ -79,7 +79,7 @@ def dissolve_districts(spark, sf_dir):
 def outside_zones(spark, sf_dir):
     """Spatial anti join."""
     p = fx.points(spark, sf_dir)
-    hit = spatial_join.join_within(p, fx.zones(spark, sf_dir), inside() & geometry.contains(F.col("ring"), F.col("x"), F.col("y"))).select("kind", "pid").distinct()
+    hit = spatial_join.join_within(p, fx.zones(spark, sf_dir), in_octagon()).select("kind", "pid").distinct()
     return p.join(hit, ["kind", "pid"], "left_anti").groupBy("kind").agg(F.count("*").alias("n_outside"), r4(F.avg("weight"), "mean_weight"))
 
 
