@@ -123,3 +123,26 @@ def test_points_on_cut_corners_are_outside_octagons(spark):
     at = spark.createDataFrame([(k, x + d, y) for k, (x, y) in enumerate(cuts) for d in (-1.0, 0.0, 1.0)], "pid int, x double, y double")
     got = sorted((r["pid"], r["x"]) for r in spatial_join.join_within(at, zone, in_octagon()).collect())
     assert got == [(0, 501.5), (1, 4999.5), (2, 4999.5), (3, 501.5)]
+
+
+def copied(spark, duck, tmp_path):
+    """Small parts and suppliers, each shape with copies under other keys."""
+    import duckdb
+
+    con = duckdb.connect()
+    for name, key, step in (("part", "p_partkey", 172800), ("supplier", "s_suppkey", 7820 * 3)):
+        con.execute(f"COPY (SELECT {key} + i * {step} AS {key} FROM '{SF}/{name}.parquet', range(3) r(i) WHERE {key} < 600) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    return con
+
+
+def test_copies_of_shapes_are_searched_once_and_counted_all(spark, duck, tmp_path):
+    from oracle import compare
+
+    from terralith.plans import shapes
+
+    con, sf_dir = copied(spark, duck, tmp_path), str(tmp_path)
+    pairs = con.sql(f"{shapes._with('parcels', 'estates')} SELECT count(*) FROM parcels a JOIN estates b ON {shapes._MEET}").fetchall()[0][0]
+    assert shapes.met(spark, sf_dir).count() == pairs / 9
+    for name in ("polygon_intersects", "join_contract", "largest_partner", "de9im_matrix", "clip_slivers", "roads_cross_parcels"):
+        compare(catalog.queries()[name](spark, sf_dir), con, catalog.oracle_sql()[name])
