@@ -130,7 +130,7 @@ def copied(spark, duck, tmp_path):
     import duckdb
 
     con = duckdb.connect()
-    for name, key, step in (("part", "p_partkey", 172800), ("supplier", "s_suppkey", 7820 * 3)):
+    for name, key, step in (("part", "p_partkey", 518400), ("supplier", "s_suppkey", 7820 * 3)):
         con.execute(f"COPY (SELECT {key} + i * {step} AS {key} FROM '{SF}/{name}.parquet', range(3) r(i) WHERE {key} < 600) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
     return con
@@ -146,3 +146,16 @@ def test_copies_of_shapes_are_searched_once_and_counted_all(spark, duck, tmp_pat
     assert shapes.met(spark, sf_dir).count() == pairs / 9
     for name in ("polygon_intersects", "join_contract", "largest_partner", "de9im_matrix", "clip_slivers", "roads_cross_parcels"):
         compare(catalog.queries()[name](spark, sf_dir), con, catalog.oracle_sql()[name])
+
+
+def test_nearest_looks_once_a_place_and_no_further_than_it_must(spark):
+    right = spark.range(4000).selectExpr("id AS pid", "CAST(id % 40 * 10 AS DOUBLE) AS x", "CAST(id div 40 % 50 * 10 AS DOUBLE) AS y")  # two at each place
+    left = spark.createDataFrame([(k, 100.0, 100.0) for k in range(3)] + [(3, None, 1.0), (4, 5000.0, 0.0)], "pid long, x double, y double")
+    seen = []
+    near, spatial_join.join_near = spatial_join.join_near, lambda a, b, r: seen.append((a.count(), r)) or near(a, b, r)
+    try:
+        got = sorted((r["pid"], r["rank"], r["r_pid"]) for r in spatial_join.nearest(left, right, "pid", "pid", 3, 1000.0).collect())
+    finally:
+        spatial_join.join_near = near
+    assert got == [(k, n, p) for k in range(3) for n, p in ((1, 410), (2, 2410), (3, 370))] + [(4, 1, 39), (4, 2, 2039), (4, 3, 79)]
+    assert seen[0][0] == 2 and seen[0][1] < 20 and seen[-1][0] == 1
