@@ -12,13 +12,19 @@ def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
     """pid, core, cluster of points (pid, x, y): clusters are components of core points, named by their least
     pid; a border point takes the least cluster in reach; noise has none. A point counts itself."""
     p = points.select("pid", "x", "y")
-    near = graph.cut(spatial_join.join_near(p, p, eps).select("pid", "r_pid"))
-    core = near.groupBy("pid").agg(F.count("*").alias("m")).where(F.col("m") >= least).select("pid")
-    to_core = near.join(core.withColumnRenamed("pid", "r_pid"), "r_pid")
-    linked = graph.components(to_core.join(core, "pid").where("pid < r_pid").select(F.col("pid").alias("a"), F.col("r_pid").alias("b")))
-    named = core.join(linked.withColumnRenamed("node", "pid"), "pid", "left").select("pid", F.coalesce("component", "pid").alias("cluster"))
-    reach = to_core.join(named.select(F.col("pid").alias("r_pid"), F.col("cluster").alias("c")), "r_pid").groupBy("pid").agg(F.min("c").alias("c"))
-    out = p.select("pid").join(named, "pid", "left").join(reach, "pid", "left")
+    # copies of a place are all core or all not, and of one cluster: pairs are of places and none is stored
+    at = graph.cut(p.groupBy("x", "y").agg(F.min("pid").alias("pid"), F.count("*").alias("m")))
+    core = spatial_join.join_near(at, at, eps).groupBy("x", "y", "pid").agg(F.sum("r_m").alias("m")).where(F.col("m") >= least).drop("m")
+    # core points of one cell are in reach of each other, so the cells are what is linked
+    side = 0.7 * eps
+    core = graph.cut(core.withColumn("cell", F.struct(spatial_join.cell(F.col("x"), side).alias("i"), spatial_join.cell(F.col("y"), side).alias("j"))))
+    cells = core.groupBy("cell").agg(F.min("pid").alias("node"))
+    core = graph.cut(core.join(cells, "cell").drop("cell"))
+    linked = graph.components(spatial_join.join_near(core, core, eps).where("node < r_node").select(F.col("node").alias("a"), F.col("r_node").alias("b")).distinct())
+    named = core.join(linked, "node", "left").select("x", "y", F.coalesce("component", "node").alias("cluster"))
+    border = at.join(core, ["x", "y"], "left_anti")
+    reach = spatial_join.join_near(border, named, eps).groupBy("x", "y").agg(F.min("r_cluster").alias("c"))
+    out = p.join(named, ["x", "y"], "left").join(reach, ["x", "y"], "left")
     return out.select("pid", F.col("cluster").isNotNull().alias("core"), F.coalesce("cluster", "c").alias("cluster"))
 
 
