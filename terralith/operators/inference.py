@@ -105,3 +105,17 @@ def adjusted(tests: DataFrame, p: str, alpha: float) -> DataFrame:
     out = tests.join(F.broadcast(cut)).join(F.broadcast(n))
     flags = [F.coalesce(F.col(p) <= alpha / F.col("__n"), F.lit(False)).alias("bonferroni"), F.coalesce(F.col(p) <= F.col("__cut"), F.lit(False)).alias("fdr")]
     return out.select(*tests.columns, *flags)
+
+
+def moran_within(points: DataFrame, value: str, radius: float) -> DataFrame:
+    """n, w, morans_i of points (x, y) whose neighbours are all others within a radius. Points at one place enter with
+    their number and sum, so pairs are of places; none is stored."""
+    mean = points.agg(F.avg(value).alias("__mean"))
+    z = points.join(F.broadcast(mean)).select("x", "y", (F.col(value) - F.col("__mean")).alias("z"))
+    at = z.groupBy("x", "y").agg(F.count("*").alias("m"), F.sum("z").alias("z"), F.sum(F.col("z") * F.col("z")).alias("zz"))
+    pairs = spatial_join.join_near(at, at, radius)
+    both = pairs.agg(F.sum(F.col("m") * F.col("r_m")).alias("w"), F.sum(F.col("z") * F.col("r_z")).alias("c"))
+    own = at.agg(F.sum("m").alias("n"), F.sum("zz").alias("zz"))
+    # a point isn't its own neighbour
+    t = own.join(F.broadcast(both)).select("n", (F.col("w") - F.col("n")).alias("w"), (F.col("c") - F.col("zz")).alias("c"), "zz")
+    return t.select("n", "w", (F.col("n") * F.col("c") / (F.col("w") * F.col("zz"))).alias("morans_i"))

@@ -102,7 +102,7 @@ SELECT n, w, round(n * c / (w * zz), 6) AS morans_i, round(n * (1 - n * c / (w *
 def moran_distance_band(spark, sf_dir):
     """Moran's I with weights by distance, and the sample size that so much dependence leaves."""
     c = customers(spark, sf_dir)
-    m = statistics.morans_i(c.select(F.col("pid").alias("zone_id"), F.col("weight").alias("value")), inference.distance_band(c, "pid", 3000.0))
+    m = inference.moran_within(c, "weight", 3000.0)
     i = F.col("morans_i")
     return m.select("n", "w", F.round(i, 6).alias("morans_i"), F.round(F.col("n") * (1 - i) / (1 + i), 3).alias("effective_n"))
 
