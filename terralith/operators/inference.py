@@ -15,8 +15,8 @@ def distance_band(points: DataFrame, key: str, radius: float) -> DataFrame:
 
 
 def nearest_weights(points: DataFrame, key: str, k: int, radius: float) -> DataFrame:
-    """i, j of the k nearest other points of each, ties by key."""
-    p = points.select(key, "x", "y")
+    """i, j of the k nearest other points of each, ties by key; rows that repeat a point are one."""
+    p = points.select(key, "x", "y").distinct()
     found = spatial_join.nearest(p, p, key, key, k + 1, radius).where(F.col(key) != F.col(f"r_{key}"))
     order = Window.partitionBy(key).orderBy("d2", f"r_{key}")
     return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select(F.col(key).alias("i"), F.col(f"r_{key}").alias("j"))

@@ -6,6 +6,8 @@ random choice is a hash of the key or a fixed seed, so that reruns agree.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -53,9 +55,17 @@ def block_folds(rows: DataFrame, k: int) -> DataFrame:
 
 def _fit(rows: DataFrame, features: list[str], label: str, model):
     ready = rows.withColumn("__y", F.col(label).cast("double"))
+    if isinstance(model, GeneralizedLinearRegression):
+        ready, model = ready.withColumn("__n", F.col("__n") if "__n" in rows.columns else F.lit(1.0)), model.copy({model.weightCol: "__n"})
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="__x"), model]).fit(ready)
 
 
+def _counted(rows: DataFrame, columns: list[str], model) -> DataFrame:
+    """What a model is fitted to: equal rows enter the sums of a regression once, with their number __n; trees draw rows, so
+    they get each."""
+    return cut(rows.groupBy(*columns).agg(F.count("*").cast("double").alias("__n"))) if isinstance(model, GeneralizedLinearRegression) else rows
+
+
 def _scored(fitted, rows: DataFrame) -> DataFrame:
     out = fitted.transform(rows)
     out = out.withColumn("score", F.col("__score") if "__score" in out.columns else vector_to_array("probability")[1])
@@ -66,48 +76,54 @@ def out_of_fold(rows: DataFrame, features: list[str], label: str, model, fold: s
     """rows with score: each row's chance by the model fitted to the other folds. One fit a fold."""
     rows = cut(rows)
     names = sorted(r[0] for r in rows.select(fold).distinct().collect())
-    done = None
+    done, known = None, _counted(rows, [fold, *features, label], model)
     for name in names:
-        part = _scored(_fit(rows.where(F.col(fold) != name), features, label, model), rows.where(F.col(fold) == name))
+        part = _scored(_fit(known.where(F.col(fold) != name), features, label, model), rows.where(F.col(fold) == name))
         done = part if done is None else done.unionByName(part)
     return rows.withColumn("score", F.lit(None).cast("double")) if done is None else done
 
 
 def coefficients(rows: DataFrame, features: list[str], label: str) -> dict[str, float]:
     """Intercept and slopes of a logistic model of all rows."""
-    model = _fit(rows, features, label, logistic()).stages[-1]
+    model = _fit(_counted(rows, [*features, label], logistic()), features, label, logistic()).stages[-1]
     return {"intercept": float(model.intercept)} | dict(zip(features, map(float, model.coefficients), strict=True))
 
 
 def shuffled(rows: DataFrame, key: str, column: str, by: str) -> DataFrame:
     """rows with the values of a column dealt anew among the rows of each group, by two hash orders of the key. Ranks
-    come from ranges of hashes, so no task sorts a whole group."""
-    place = lambda salt: (F.xxhash64(F.col(key), F.lit(salt)) / F.lit(2.0**63)).alias("h")
+    come from ranges of hashes, so no task sorts a whole group. Rows of one key are numbered, so that each has its rank."""
+    names = rows.columns
+    rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy(by, key).orderBy(column)))
+    hashed = lambda salt: F.when(F.col("__k") == 1, F.xxhash64(F.col(key), F.lit(salt))).otherwise(F.xxhash64(F.col(key), F.col("__k"), F.lit(salt)))
+    place = lambda salt: (hashed(salt) / F.lit(2.0**63)).alias("h")
 
     def ranked(salt: str, take: list) -> DataFrame:
-        d = rows.select(by, key, place(f"{column}-{salt}"), *take)
+        d = rows.select(by, key, "__k", place(f"{column}-{salt}"), *take)
         return d.join(value_ranks(d, by, "h").select(by, "h", "below"), [by, "h"]).drop("h")
 
-    given, taken = ranked("from", [F.col(column).alias("__v")]).drop(key), ranked("to", []).select(by, key, "below")
-    return rows.drop(column).join(taken.join(given, [by, "below"]).select(by, key, F.col("__v").alias(column)), [by, key])
+    given, taken = ranked("from", [F.col(column).alias("__v")]).drop(key, "__k"), ranked("to", []).select(by, key, "__k", "below")
+    return rows.drop(column).join(taken.join(given, [by, "below"]).select(by, key, "__k", F.col("__v").alias(column)), [by, key, "__k"]).select(*names)
 
 
 def importance(rows: DataFrame, key: str, features: list[str], label: str, model, score, fold: str = "fold") -> DataFrame:
     """fold, feature, base, permuted, gain (impurity importance of the fold's model, where it has one): score is a function of
-    a scored DataFrame that gives one number a fold; a column is shuffled within the held-out fold only."""
+    a scored DataFrame that gives one number a fold; a column is shuffled within the held-out fold only.
+    All folds are shuffled at once, and all their scores are judged in one pass."""
     rows = cut(rows)
-    out = None
+    moved = [rows, *[cut(shuffled(rows, key, c, fold)) for c in features]]
+    gains, parts = [], []
     for name in sorted(r[0] for r in rows.select(fold).distinct().collect()):
         fitted = _fit(rows.where(F.col(fold) != name), features, label, model)
-        gains = getattr(fitted.stages[-1], "featureImportances", None)
-        held = rows.where(F.col(fold) == name)
-        base = score(_scored(fitted, held)).select(fold, F.col("value").alias("base"))
-        for i, feature in enumerate(features):
-            moved = score(_scored(fitted, shuffled(held, key, feature, fold))).select(fold, F.col("value").alias("permuted"))
-            gain = F.lit(float(gains[i]) if gains is not None else None).cast("double").alias("gain")
-            part = base.join(moved, fold).select(fold, F.lit(feature).alias("feature"), "base", "permuted", gain)
-            out = part if out is None else out.unionByName(part)
-    return out
+        own = getattr(fitted.stages[-1], "featureImportances", None)
+        gains += [(name, i + 1, c, float(own[i]) if own is not None else None) for i, c in enumerate(features)]
+        parts += [_scored(fitted, d.where(F.col(fold) == name)).select(F.struct(fold, F.lit(i).alias("i")).alias(fold), label, "score") for i, d in enumerate(moved)]
+    if not parts:
+        return rows.select(fold, F.lit(None).cast("string").alias("feature"), *[F.lit(None).cast("double").alias(c) for c in ("base", "permuted", "gain")])
+    # a group of scores is a fold with one column shuffled, or (0) with none
+    each = cut(score(cut(reduce(DataFrame.unionByName, parts))).select(f"{fold}.*", "value"))
+    base = each.where("i = 0").select(fold, F.col("value").alias("base"))
+    known = rows.sparkSession.createDataFrame(gains, f"`{fold}` {rows.schema[fold].dataType.simpleString()}, i int, feature string, gain double")
+    return base.join(each.withColumnRenamed("value", "permuted"), fold).join(F.broadcast(known), [fold, "i"]).select(fold, "feature", "base", "permuted", "gain")
 
 
 def surface(rows: DataFrame, cells: DataFrame, features: list[str], label: str, model) -> DataFrame:
@@ -132,8 +148,10 @@ def surface(rows: DataFrame, cells: DataFrame, features: list[str], label: str,
 def partial_dependence(rows: DataFrame, features: list[str], label: str, model, feature: str, grid: list[float]) -> DataFrame:
     """feature value, mean score of all rows with that value in place of their own."""
     fitted = _fit(rows, features, label, model)
-    at = rows.drop(feature).withColumn(feature, F.explode(F.array(*[F.lit(float(v)) for v in grid])))
-    return _scored(fitted, at).groupBy(F.col(feature).alias("value")).agg(F.avg("score").alias("mean_score"), F.count("*").alias("n"))
+    # rows that agree in the other features have one score
+    alike = rows.groupBy(*[c for c in features if c != feature]).agg(F.count("*").alias("__m"))
+    at = alike.withColumn(feature, F.explode(F.array(*[F.lit(float(v)) for v in grid])))
+    return _scored(fitted, at).groupBy(F.col(feature).alias("value")).agg((F.sum(F.col("score") * F.col("__m")) / F.sum("__m")).alias("mean_score"), F.sum("__m").alias("n"))
 
 
 def brier(score: Column, label: Column) -> Column:

@@ -125,3 +125,34 @@ def test_rows_later_than_the_watermark_are_dropped(spark):
     out = run_in_turn(spark, [spark.createDataFrame(b, schema) for b in batches])
     # the first day closed after the first batch, the third one after the second
     assert sorted((r["day"].day, r["n"]) for r in out.collect()) == [(1, 1), (3, 2), (6, 1)]
+
+
+def test_rows_that_repeat_a_key_meet_once(spark, tmp_path):
+    """Training rows, neighbours and shuffles grow with the rows, not with the square of a key's copies."""
+    from terralith.operators import inference
+    from terralith.plans import predictive
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("customer", "supplier", "orders"):
+        t = spark.read.parquet(f"{sf}/{name}.parquet")
+        (t.unionByName(t).unionByName(t) if name == "customer" else t).write.parquet(f"{tmp_path}/{name}.parquet")
+    one, three = predictive.training(spark, sf), predictive.training(spark, str(tmp_path))
+    assert three.count() == 3 * one.count() > 0 and three.distinct().count() == one.count()
+    edges = lambda t: sorted(map(tuple, inference.nearest_weights(t, "pid", 4, 2000.0).collect()))
+    assert edges(one) == edges(three)
+    held = three.withColumn("fold", F.lit(0))
+    moved = models.shuffled(held, "pid", "x1", "fold")
+    assert moved.count() == held.count() and sorted(r[0] for r in moved.select("x1").collect()) == sorted(r[0] for r in held.select("x1").collect())
+
+
+def test_equal_rows_enter_a_regression_with_their_number(table):
+    few = table.withColumn("a", F.round("a", 0)).withColumn("b", F.round("b", 0))
+    counted = models._counted(few, ["a", "b", "hit"], models.logistic())
+    assert counted.count() < 100 and counted.agg(F.sum("__n")).first()[0] == 600
+    got = models.coefficients(few, ["a", "b"], "hit")
+    rows = few.collect()
+    x, y, b = np.array([[1.0, r["a"], r["b"]] for r in rows]), np.array([float(r["hit"]) for r in rows]), np.zeros(3)
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-x @ b))
+        b = b + np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]), x.T @ (y - p))
+    assert np.allclose(list(got.values()), b, atol=1e-8)
