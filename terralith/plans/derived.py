@@ -97,7 +97,10 @@ SELECT id AS parcel_id, {_VERTICES}::BIGINT AS n_before, count(*) AS n_after, st
 def simplified_lines(spark, sf_dir):
     """Douglas-Peucker over one wavy line a parcel: which vertices stay, and how many fewer they are."""
     line = F.expr(f"transform(sequence(0, {_VERTICES - 1}), i -> named_struct('x', CAST(10 * i AS DOUBLE), 'y', CAST({_WAVE} AS DOUBLE)))")
-    p = layers.parcels(spark, sf_dir).select("parcel_id", line.alias("line")).select("parcel_id", F.size("line").cast("bigint").alias("n_before"), hulls.simplify(F.col("line"), _TOLERANCE).alias("at"))
+    every = layers.parcels(spark, sf_dir).select("parcel_id", line.alias("line"))
+    # equal lines are thinned once
+    thin = spatial_join.spread(every.select("line").distinct()).select("line", hulls.simplify(F.col("line"), _TOLERANCE).alias("at"))
+    p = every.join(thin, "line").select("parcel_id", F.size("line").cast("bigint").alias("n_before"), "at")
     return p.select("parcel_id", "n_before", F.size("at").cast("bigint").alias("n_after"), F.array_join("at", " ").alias("kept"))
 
 

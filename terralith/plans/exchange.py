@@ -23,7 +23,7 @@ def shapefile_round_trip(spark, sf_dir):
     """Notched and holed plots through shapefiles: names cut to ten letters, dates, flags, numbers, holes."""
     path = formats.scratch(spark, "shapefile")
     p = layers.plots(spark, sf_dir).selectExpr("plot_id AS plot_identifier", "concat('plot ', plot_id) AS plot_identity", "plot_id / 7.0D AS share", "date_add(DATE '2024-01-01', CAST(plot_id % 300 AS INT)) AS surveyed", "plot_id % 3 = 0 AS open", "parts")
-    exchange.write_shapefiles(p, path)
+    exchange.write_shapefiles(formats.in_files(p), path)
     back = exchange.read_shapefiles(spark, path)
     holes = F.aggregate("parts", F.lit(0), lambda n, s: n + F.size(s["holes"]))
     return back.select("plot_ident", "plot_ide_1", "share", "surveyed", "open", F.round(polygons.area(F.col("parts")), 3).alias("area"), holes.alias("n_holes"))

@@ -24,6 +24,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{named.rstrip('/')}/terralith/{name}-{uuid.uuid4().hex}"
 
 
+def in_files(layer: DataFrame, rows: int = 20_000) -> DataFrame:
+    """layer dealt over so many tasks, each of which writes a file, that a file holds about so many rows."""
+    return layer.repartition(max(1, -(-layer.count() // rows)))
+
+
 # ---------------------------------------------------------------- GeoJSON, one feature a line
 
 _FEATURE = "type string, properties map<string,string>, geometry struct<type:string,coordinates:array<array<array<double>>>>"
@@ -57,13 +62,13 @@ def _in_degrees(ring: Column, central: float) -> Column:
 
 def write_feature_collections(layer: DataFrame, parts: str, properties: list[str], path: str, central: float) -> None:
     """Standard GeoJSON: longitudes and latitudes, shells counterclockwise and holes clockwise, each task's file a FeatureCollection
-    of its own. A polygon without parts has a null geometry."""
+    of its own, of in_files' size as a file is read by one task. A polygon without parts has a null geometry."""
     turned = lambda r, left: F.when((geometry.signed_area(r) > 0) == F.lit(left), r).otherwise(F.reverse(r))
     rings = lambda s: F.concat(F.array(turned(s["shell"], True)), F.transform(s["holes"], lambda h: turned(h, False)))
     polygons_ = F.transform(parts, lambda s: F.transform(rings(s), lambda r: _in_degrees(r, central)))
     shape = F.when(F.size(parts) == 1, F.to_json(F.struct(F.lit("Polygon").alias("type"), polygons_[0].alias("coordinates")))).when(F.size(parts) > 1, F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), polygons_.alias("coordinates"))))
     names = F.to_json(F.struct(*properties), {"ignoreNullFields": "false"})
-    lines = layer.select(F.concat(F.lit('{"type":"Feature","properties":'), names, F.lit(',"geometry":'), F.coalesce(shape, F.lit("null")), F.lit("}")).alias("value"))
+    lines = in_files(layer).select(F.concat(F.lit('{"type":"Feature","properties":'), names, F.lit(',"geometry":'), F.coalesce(shape, F.lit("null")), F.lit("}")).alias("value"))
 
     def wrap(batches):
         import pyarrow as pa

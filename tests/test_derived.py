@@ -63,3 +63,17 @@ def test_scores_of_one_class_and_decay(spark):
     rows = spark.createDataFrame([(float(x), 3 + 7 * float(np.exp(-x / 6))) for x in range(30)] + [(None, 1.0)], "x double, y double")
     f = assessment.decay_fit(rows, "x", "y", [2.0, 4.0, 6.0, 8.0]).first()
     assert f["length"] == 6 and abs(f["a"] - 3) < 1e-9 and abs(f["b"] - 7) < 1e-9 and abs(f["r2"] - 1) < 1e-9
+
+
+def test_equal_lines_are_thinned_once_and_files_are_bounded(spark, tmp_path, monkeypatch):
+    from terralith.operators import spatial_join
+    from terralith.plans import derived
+    from terralith.sources import formats
+
+    spark.range(1, 501).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    seen = []
+    plain = spatial_join.spread
+    monkeypatch.setattr(spatial_join, "spread", lambda d: seen.append(d.count()) or plain(d))
+    assert derived.simplified_lines(spark, str(tmp_path)).count() == 500 and seen == [23]
+    assert formats.in_files(spark.range(500).coalesce(1), 100).rdd.getNumPartitions() == 5
+    assert formats.in_files(spark.range(0)).rdd.getNumPartitions() == 1
