@@ -131,8 +131,13 @@ SELECT district_id, count(*) AS n_parts, round(sum(estate_id % 50 * 10 * CASE WH
 def dasymetric_people(spark, sf_dir):
     """People of estates dealt over districts by the floor space of the parcels there; missing space weighs nothing."""
     p = layers.parcels(spark, sf_dir).selectExpr("parcel_id", "(xmin + xmax) / 2 AS x", "(ymin + ymax) / 2 AS y", f"{_FLOOR} AS floor")
-    e = spatial_join.join_within(p, layers.estates(spark, sf_dir), inside()).select("estate_id", "x", "y", "floor")
-    j = spatial_join.join_within(e, fx.districts(spark, sf_dir), inside()).groupBy("estate_id", "district_id").agg(F.coalesce(F.sum("floor"), F.lit(0.0)).alias("part"))
+    # parcels of one centre enter with their sum, equal estates are searched once
+    box = ["xmin", "ymin", "xmax", "ymax"]
+    places, every = p.groupBy("x", "y").agg(F.sum("floor").alias("floor")), layers.estates(spark, sf_dir)
+    one = spatial_join.once(every, "estate_id", box).select(*box, F.col("estate_id").alias("like"))
+    e = spatial_join.join_within(places, one, inside(), 1000.0).select("like", "x", "y", "floor")
+    j = spatial_join.join_within(e, fx.districts(spark, sf_dir), inside()).groupBy("like", "district_id").agg(F.coalesce(F.sum("floor"), F.lit(0.0)).alias("part"))
+    j = j.join(every.join(one, box).select("like", "estate_id"), "like").drop("like")
     t = j.groupBy("estate_id").agg(F.sum("part").alias("whole"))
     share = F.when(F.col("whole") > 0, F.col("part") / F.col("whole")).otherwise(0.0)
     return j.join(t, "estate_id").groupBy("district_id").agg(F.count("*").alias("n_parts"), r4(F.sum(F.col("estate_id") % 50 * 10 * share), "people"))
