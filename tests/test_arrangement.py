@@ -169,7 +169,8 @@ def test_copies_of_a_ring_are_repaired_once(spark, tmp_path, monkeypatch):
 def test_relations_are_worked_out_once_for_pairs_alike(spark, tmp_path, monkeypatch):
     from terralith.operators import spatial_join
 
-    spark.range(1, 4001).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    # keys 518400 apart have equal plots
+    spark.range(1, 4001).selectExpr("explode(array(id, id + 518400)) AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
     spark.range(1, 201).selectExpr("id AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
     seen = []
     plain = spatial_join.spread
