@@ -188,3 +188,32 @@ def test_a_tile_of_a_shape_is_clipped_once(spark):
     one, every = overlay._distinct(part.unionByName(part.withColumn("plot_id", F.col("plot_id") + 10000)), "plot_id")
     rows, kinds = overlay._clipped(one, 100.0)
     assert one.count() == 2880 and every.count() == 5760 and kinds.count() < 800 < rows.count()
+
+
+def test_voronoi_cells_count_copies_of_places_and_keys(spark, tmp_path):
+    import duckdb
+    from oracle import compare
+
+    # keys 144000 apart lie at one place; some keys are repeated
+    con = duckdb.connect()
+    rows = lambda n, copies, twice: f"(SELECT k + c * 144000 AS k FROM range({n}) a(k), range({copies}) b(c) UNION ALL SELECT k FROM range({twice}) d(k))"
+    con.execute(f"CREATE TABLE customer AS SELECT k AS c_custkey, 'BUILDING' AS c_mktsegment, 1.0 AS c_acctbal FROM {rows(700, 3, 50)}")
+    con.execute(f"CREATE TABLE supplier AS SELECT k AS s_suppkey, 1.0 AS s_acctbal FROM {rows(40, 30, 5)}")
+    for name in ("customer", "supplier"):
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet'")
+    compare(overlays.voronoi_cells(spark, str(tmp_path)), con, overlays.queries.sql["voronoi_cells"])
+
+
+def test_a_search_takes_as_many_tasks_as_its_circles_need(spark, monkeypatch):
+    from terralith.operators import spatial_join
+
+    at = np.random.default_rng(8).random((3000, 2)) * 20000
+    points = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(at)], "id int, x double, y double")
+    seen = []
+    plain = spatial_join.join_near
+    monkeypatch.setattr(spatial_join, "join_near", lambda *a: seen.append(a[3]) or plain(*a))
+    got = spatial_join.nearest(points, points, "id", "id", 64, 20000.0).select("id", "rank", "r_id").collect()
+    assert seen[0] >= 3 and len(got) == 3000 * 64  # 256 rows a circle
+    for k in range(0, 3000, 300):
+        d2 = ((at - at[k]) ** 2).sum(axis=1)
+        assert {r["r_id"] for r in got if r["id"] == k} == set(np.argsort(d2)[:64].tolist())
