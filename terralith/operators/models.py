@@ -6,13 +6,14 @@ random choice is a hash of the key or a fixed seed, so that reruns agree.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +23,62 @@ from terralith.operators.statistics import value_ranks
 SEED = 42
 
 
-def logistic():
-    """Without a penalty, by iteratively reweighted least squares: one pass over the rows a round."""
-    return GeneralizedLinearRegression(featuresCol="__x", labelCol="__y", family="binomial", link="logit", maxIter=30, tol=1e-10, regParam=0.0, predictionCol="__score")
+@dataclass
+class Logistic:
+    """Without a penalty, by Newton's method from zero: one pass over the rows a step, rounds steps at most.
+
+    Features enter as differences from their means: values that hardly vary beside their size (a distance of 90 m, give or take
+    a few) would else be told from the intercept by digits that the sums don't hold.
+    """
+
+    rounds: int = 30
+    tol: float = 1e-10
+
+    def fit(self, rows: DataFrame, features: list[str], label: str) -> LogisticFit:
+        """The model of rows, each of which stands for __n equal ones."""
+        n = F.col("__n")
+        means = rows.agg(*[F.sum(n * F.col(c)) / F.sum(n) for c in features]).first()
+        if means[0] is None:
+            return LogisticFit(features, float("nan"), [float("nan")] * len(features))
+        x = [F.lit(1.0), *[F.col(c) - F.lit(m) for c, m in zip(features, means, strict=True)]]
+        size, b = len(x), np.zeros(len(features) + 1)
+        upper = [(i, j) for i in range(size) for j in range(i, size)]
+        for _ in range(self.rounds):
+            p = 1 / (1 + F.exp(-sum((float(v) * c for v, c in zip(b[1:], x[1:], strict=True)), F.lit(float(b[0])))))
+            each = rows.select(*[c.alias(f"x{i}") for i, c in enumerate(x)], "__n", (F.col(label).cast("double") - p).alias("g"), (p * (1 - p)).alias("w"))
+            sums = [F.sum(n * F.col("g") * F.col(f"x{i}")) for i in range(size)] + [F.sum(n * F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in upper]
+            sums = each.agg(*sums).first()
+            h = np.zeros((size, size))
+            for (i, j), v in zip(upper, sums[size:], strict=True):
+                h[i, j] = h[j, i] = v
+            unit = np.sqrt(np.where(np.diag(h) > 0, np.diag(h), 1.0))
+            step = np.linalg.lstsq(h / np.outer(unit, unit), np.array(sums[:size]) / unit, rcond=1e-13)[0]
+            b = b + step / unit
+            # steps in units of the features' spread
+            if np.max(np.abs(step)) < self.tol * unit[0]:
+                break
+        return LogisticFit(features, float(b[0] - sum(v * m for v, m in zip(b[1:], means, strict=True))), [float(v) for v in b[1:]])
+
+
+@dataclass
+class LogisticFit:
+    """Intercept and slopes; transform adds the chance as __score."""
+
+    features: list[str]
+    intercept: float
+    coefficients: list[float]
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        z = sum((F.lit(b) * F.col(c) for c, b in zip(self.features, self.coefficients, strict=True)), F.lit(self.intercept))
+        return rows.withColumn("__score", 1 / (1 + F.exp(-z)))
+
+    @property
+    def stages(self) -> list[LogisticFit]:
+        return [self]
+
+
+def logistic(rounds: int = 30) -> Logistic:
+    return Logistic(rounds)
 
 
 def forest(trees: int = 30, depth: int = 5):
@@ -54,16 +108,16 @@ def block_folds(rows: DataFrame, k: int) -> DataFrame:
 
 
 def _fit(rows: DataFrame, features: list[str], label: str, model):
+    if isinstance(model, Logistic):
+        return model.fit(rows if "__n" in rows.columns else rows.withColumn("__n", F.lit(1.0)), features, label)
     ready = rows.withColumn("__y", F.col(label).cast("double"))
-    if isinstance(model, GeneralizedLinearRegression):
-        ready, model = ready.withColumn("__n", F.col("__n") if "__n" in rows.columns else F.lit(1.0)), model.copy({model.weightCol: "__n"})
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="__x"), model]).fit(ready)
 
 
 def _counted(rows: DataFrame, columns: list[str], model) -> DataFrame:
     """What a model is fitted to: equal rows enter the sums of a regression once, with their number __n; trees draw rows, so
     they get each."""
-    return cut(rows.groupBy(*columns).agg(F.count("*").cast("double").alias("__n"))) if isinstance(model, GeneralizedLinearRegression) else rows
+    return cut(rows.groupBy(*columns).agg(F.count("*").cast("double").alias("__n"))) if isinstance(model, Logistic) else rows
 
 
 def _scored(fitted, rows: DataFrame) -> DataFrame:
@@ -83,10 +137,11 @@ def out_of_fold(rows: DataFrame, features: list[str], label: str, model, fold: s
     return rows.withColumn("score", F.lit(None).cast("double")) if done is None else done
 
 
-def coefficients(rows: DataFrame, features: list[str], label: str) -> dict[str, float]:
+def coefficients(rows: DataFrame, features: list[str], label: str, rounds: int = 30) -> dict[str, float]:
     """Intercept and slopes of a logistic model of all rows."""
-    model = _fit(_counted(rows, [*features, label], logistic()), features, label, logistic()).stages[-1]
-    return {"intercept": float(model.intercept)} | dict(zip(features, map(float, model.coefficients), strict=True))
+    model = logistic(rounds)
+    fitted = _fit(_counted(rows, [*features, label], model), features, label, model)
+    return {"intercept": fitted.intercept} | dict(zip(features, fitted.coefficients, strict=True))
 
 
 def shuffled(rows: DataFrame, key: str, column: str, by: str) -> DataFrame:

@@ -156,3 +156,33 @@ def test_equal_rows_enter_a_regression_with_their_number(table):
         p = 1 / (1 + np.exp(-x @ b))
         b = b + np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]), x.T @ (y - p))
     assert np.allclose(list(got.values()), b, atol=1e-8)
+
+
+def test_logistic_model_of_a_feature_that_hardly_varies(spark):
+    rng = np.random.default_rng(7)
+    u = rng.integers(0, 60, 4000) ** 2 / 80000
+    x = np.column_stack([np.ones(4000), rng.integers(-6, 8, 4000) / 50, -1.98 + u / 1000])
+    hit = rng.random(4000) < 1 / (1 + np.exp(-(1.5 - 0.1 * x[:, 1] + 8 * (u - 0.015))))
+    rows = [(k, int(k % 5), float(a), float(b), bool(h)) for k, (a, b, h) in enumerate(zip(x[:, 1], x[:, 2], hit, strict=True))]
+    t = spark.createDataFrame(rows, "id long, fold int, a double, b double, hit boolean")
+
+    def fitted(use):
+        z, b = x - [0, *x[:, 1:].mean(axis=0)], np.zeros(3)
+        for _ in range(15):
+            p = 1 / (1 + np.exp(-z[use] @ b))
+            b = b + np.linalg.solve(z[use].T @ (z[use] * (p * (1 - p))[:, None]), z[use].T @ (hit[use] - p))
+        return np.array([b[0] - b[1:] @ x[:, 1:].mean(axis=0), b[1], b[2]])
+
+    want = fitted(np.ones(4000, bool))
+    got = models.coefficients(t, ["a", "b"], "hit")
+    assert np.allclose([got["intercept"], got["a"], got["b"]], want, rtol=1e-8, atol=0)
+    by_fold = [fitted(np.arange(4000) % 5 != f) for f in range(5)]
+    scores = models.out_of_fold(t, ["a", "b"], "hit", models.logistic()).collect()
+    assert max(abs(r["score"] - 1 / (1 + math.exp(-x[r["id"]] @ by_fold[r["fold"]]))) for r in scores) < 1e-9
+
+
+def test_logistic_model_of_one_value_and_of_no_rows(spark):
+    t = spark.createDataFrame([(1.0, 5.0, True), (2.0, 5.0, False), (3.0, 5.0, True), (4.0, 5.0, True)], "a double, b double, hit boolean")
+    alone, both = models.coefficients(t, ["a"], "hit"), models.coefficients(t, ["a", "b"], "hit")
+    assert math.isclose(alone["a"], both["a"]) and math.isclose(alone["intercept"], both["intercept"] + 5 * both["b"])
+    assert all(math.isnan(v) for v in models.coefficients(t.where("a > 9"), ["a"], "hit").values())
