@@ -32,10 +32,18 @@ def two_step_access(demand: DataFrame, supply: DataFrame, radius: float) -> Data
     """pid, access of demand (pid, x, y, weight) to supply (pid, x, y, weight) within a radius, by Gaussian decay.
 
     Step one: each supply over the demand it can reach. Step two: the sum of these in reach; 0 if none is.
+    Both steps are sums over pairs of places, and no pair is stored.
     """
-    pairs = graph.cut(spatial_join.join_near(demand, supply, radius).withColumn("g", F.exp(-0.5 * 4 * F.col("d2") / (radius * radius))).select("pid", "weight", "r_pid", "r_weight", "g"))
-    rate = pairs.groupBy("r_pid").agg((F.max("r_weight") / F.sum(F.col("weight") * F.col("g"))).alias("rate"))
-    got = pairs.join(rate, "r_pid").groupBy("pid").agg(F.sum(F.col("rate") * F.col("g")).alias("access"))
+    at = graph.cut(demand.groupBy("x", "y").agg(F.sum("weight").alias("weight")))
+    stops = graph.cut(supply.select("x", "y").distinct())
+    tasks = 4 * demand.sparkSession.sparkContext.defaultParallelism
+    g = F.exp(-0.5 * 4 * F.col("d2") / (radius * radius))
+    reached = graph.cut(spatial_join.join_near(stops, at, radius, tasks, 4).groupBy("x", "y").agg(F.sum(F.col("r_weight") * g).alias("reach")))
+    # rows of one key are one supply
+    rate = supply.join(reached, ["x", "y"]).groupBy("pid").agg((F.max("weight") / F.sum("reach")).alias("rate"))
+    offers = graph.cut(supply.join(reached, ["x", "y"]).join(rate, "pid").groupBy("x", "y").agg(F.sum("rate").alias("rate")))
+    got = spatial_join.join_near(offers, at.select("x", "y"), radius, tasks, 4).groupBy("r_x", "r_y").agg(F.sum(F.col("rate") * g).alias("access"))
+    got = demand.join(got.withColumnsRenamed({"r_x": "x", "r_y": "y"}), ["x", "y"]).groupBy("pid").agg(F.sum("access").alias("access"))
     return demand.select("pid").join(got, "pid", "left").select("pid", F.coalesce("access", F.lit(0.0)).alias("access"))
 
 

@@ -178,3 +178,30 @@ def test_clusters_and_weights_pair_places_not_copies(spark):
     mean = sum(w for _, _, w in rows) / 15
     pairs = [(a[2] - mean) * (b[2] - mean) for a in rows for b in rows if a[0] != b[0] and abs(a[1] - b[1]) <= 4]
     assert m["n"] == 15 and m["w"] == len(pairs) and math.isclose(m["morans_i"], 15 * sum(pairs) / (len(pairs) * sum((w - mean) ** 2 for _, _, w in rows)))
+
+
+def test_catchments_pair_places_not_copies(spark, tmp_path, monkeypatch):
+    import duckdb
+    from oracle import compare
+
+    # keys 144000 apart lie at one place; some keys are repeated
+    con = duckdb.connect()
+    rows = lambda n, copies, twice: f"(SELECT k + c * 144000 AS k FROM range({n}) a(k), range({copies}) b(c) UNION ALL SELECT k FROM range({twice}) d(k))"
+    con.execute(f"CREATE TABLE customer AS SELECT k AS c_custkey, 'BUILDING' AS c_mktsegment, 1.0 AS c_acctbal FROM {rows(700, 4, 50)}")
+    con.execute(f"CREATE TABLE supplier AS SELECT k AS s_suppkey, k % 97 * 100.0 - 500 AS s_acctbal FROM {rows(60, 5, 7)}")
+    for name in ("customer", "supplier"):
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet'")
+    seen = []
+    plain = spatial_join.join_near
+    monkeypatch.setattr(spatial_join, "join_near", lambda a, b, *c: seen.append((a.count(), b.count())) or plain(a, b, *c))
+    compare(catalog.queries()["two_step_access"](spark, str(tmp_path)), con, catalog.oracle_sql()["two_step_access"])
+    assert seen and all(sorted(s) == [60, 700] for s in seen)
+
+
+def test_fine_cells_find_the_same_pairs(spark):
+    at = [(k, (k * 7919 % 2000 - 1000) / 10, (k * 104729 % 1999 - 1000) / 10) for k in range(400)] + [(400, 0.0, 0.0), (401, 30.0, 40.0), (402, -50.0, 0.0)]
+    points = spark.createDataFrame(at, "pid int, x double, y double")
+    want = {(a[0], b[0]) for a in at for b in at if (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 <= 2500}
+    for fine in (1, 2, 4):
+        got = [(r["pid"], r["r_pid"]) for r in spatial_join.join_near(points, points, 50.0, 3, fine).select("pid", "r_pid").collect()]
+        assert len(got) == len(want) and set(got) == want
