@@ -205,3 +205,15 @@ def test_fine_cells_find_the_same_pairs(spark):
     for fine in (1, 2, 4):
         got = [(r["pid"], r["r_pid"]) for r in spatial_join.join_near(points, points, 50.0, 3, fine).select("pid", "r_pid").collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_corners_and_estates_with_copies_meet_once(spark, duck, tmp_path, monkeypatch):
+    from oracle import compare
+
+    con, sf_dir = copied(spark, duck, tmp_path), str(tmp_path)
+    seen = []
+    plain = spatial_join.pairs
+    monkeypatch.setattr(spatial_join, "pairs", lambda a, b, *c: seen.append((a.count(), b.count())) or plain(a, b, *c))
+    compare(catalog.queries()["within_or_covered"](spark, sf_dir), con, catalog.oracle_sql()["within_or_covered"])
+    n = [con.sql(f"SELECT count(*) FROM {t}").fetchall()[0][0] for t in ("part", "supplier")]
+    assert len(seen) == 1 and all(3 * s <= m for s, m in zip(seen[0], n, strict=True))
